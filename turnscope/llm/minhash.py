@@ -7,10 +7,12 @@ lets the sampler's logarithms be tabulated. Samples are banded; documents that s
 the weighted Jaccard similarity of their whole texts, and links make components.
 
 Copies cost nothing twice: documents with equal weighted sets are one class before banding. Within a band's
-bucket all members are compared with one pivot; only where that leaves several components are members outside
-the largest one made pivots in turn, until every pair that could join two components has been compared. A
-bucket of near-copies thus costs as many comparisons as it has members, no bucket is capped, and no link
-between components is missed.
+bucket all members are compared with one pivot, the one whose shingles are the most common ones (of edited
+copies, the one closest to the others); only where that leaves several components are members outside the
+largest one made pivots in turn, until every pair that could join two components has been compared. A bucket
+of near-copies thus costs about as many comparisons as it has members, no bucket is capped, and no link
+between components is missed. What a text shares with no other text of such buckets bounds its similarity to
+each of them, so heavily edited copies are settled by two numbers each instead of one by one.
 
 Defined results: a text without words (null, empty, only punctuation) is in a class of its own. A text of 1
 to 4 words has one shingle. A class's id is its smallest doc_id. Rows that repeat a doc_id stand or fall
@@ -26,18 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import materialize, text_or_empty
+from turnscope.llm.common import materialize, text_or_empty, utf8_buffers
 from turnscope.llm.components import connected_components
 from turnscope.llm.words import mix, shingles, word_blocks
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 6
 IDF_BUCKETS = 1 << 18
 IDF_SPAN = 0.25
 LEVEL = 0.1
-PIVOTS = 16
-_VARIATES = 1024
+PIVOTS, PIVOTS_A_ROW = 512, 16
+#: Pairs of pivots and members whose samples agree less often are not verified. At the least similarity that
+#: links, so few of the samples agree once in some hundred times, as seldom as no band agrees.
+AGREEMENT = 0.68
+#: Room for rounding in bounds.
+SLACK = 1e-9
+_VARIATES = 512
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _K = BANDS * ROWS
@@ -46,7 +53,7 @@ _C = _rng.gamma(2.0, 1.0, (_K, _VARIATES))
 _BETA = _rng.random((_K, _VARIATES))
 _ODD = _rng.integers(0, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = np.uint64(64 - 10)
+_SHIFT = np.uint64(64 - 9)
 
 
 class Sampler:
@@ -69,17 +76,20 @@ class Sampler:
         self.table = np.concatenate((self.table, more), axis=1)
         self.levels = levels
 
-    def bands(self, elements: np.ndarray, levels: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Band hashes of each set (no set is empty), one row per set."""
+    def bands(self, elements: np.ndarray, levels: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(band hashes, one byte of every sample) of each set (no set is empty), one row per set."""
         if levels.max() >= self.levels:
             self._grow(int(levels.max()) + 1)
         low = mix(elements) & np.uint64(0xFFFFFFFF)
         at = levels.astype(np.int64) * _VARIATES
         out = np.zeros((len(starts), BANDS), np.uint64)
+        sketch = np.zeros((len(starts), _K), np.uint8)
         for k in range(_K):
             key = self.table[k][at + (elements * _ODD[k] >> _SHIFT).astype(np.int64)] ^ low
-            out[:, k // ROWS] += np.minimum.reduceat(key, starts) * _BAND[k % ROWS]
-        return mix(out + np.arange(BANDS, dtype=np.uint64))
+            drawn = np.minimum.reduceat(key, starts)
+            out[:, k // ROWS] += drawn * _BAND[k % ROWS]
+            sketch[:, k] = mix(drawn) & np.uint64(0xFF)
+        return mix(out + np.arange(BANDS, dtype=np.uint64)), sketch
 
 
 def weighted_sets(texts: pa.Array, ln_idf: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -133,28 +143,39 @@ def _ln_idf(texts: DataFrame) -> np.ndarray:
 
 
 def _signatures(texts: DataFrame, ln_idf) -> DataFrame:
-    """(doc_id, key, bands): key identifies the weighted set, null if it is empty."""
+    """(doc_id, key, weight, rarity, sketch, bands): key identifies the weighted set, null if it is empty; rarity is the
+    mean inverse document frequency of its shingles; sketch has one byte of every sample."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
             keys: list[bytes | None] = []
+            weight, rarity = np.zeros(len(batch)), np.zeros(len(batch))
             bands: list[np.ndarray] = []
+            sketches: list[bytes | None] = []
             for lo, hi, unique, levels, starts in weighted_sets(batch.column(1), ln_idf.value):
                 full = np.flatnonzero(np.diff(starts))
                 own = [None] * (hi - lo)
+                drawn: list[bytes | None] = [None] * (hi - lo)
                 if len(full):
                     for i, raw in zip(full, _keys(unique, levels, starts[full]), strict=True):
                         own[i] = raw
-                    bands.append(sampler.bands(unique, levels, starts[full]))
+                    hashes, sketch = sampler.bands(unique, levels, starts[full])
+                    bands.append(hashes)
+                    for i, raw in zip(full, sketch, strict=True):
+                        drawn[i] = raw.tobytes()
+                    weight[lo + full] = np.add.reduceat(np.exp(levels * LEVEL), starts[full])
+                    idf = ln_idf.value[(unique >> np.uint64(46)).astype(np.int64)]
+                    rarity[lo + full] = np.add.reduceat(idf, starts[full]) / np.diff(starts)[full]
                 keys += own
+                sketches += drawn
             present = np.array([k is not None for k in keys], bool)
             offsets = np.concatenate(([0], np.cumsum(present * BANDS))).astype(np.int32)
             flat = np.concatenate(bands).ravel().view(np.int64) if bands else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(weight), pa.array(rarity), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "key", "weight", "rarity", "sketch", "bands"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, weight double, rarity double, sketch binary, bands array<long>")
 
 
 def _keys(unique: np.ndarray, levels: np.ndarray, starts: np.ndarray) -> list[bytes]:
@@ -187,6 +208,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, ln_idf, threshold: float) -> D
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, key, first) of the buckets of more than two members that still hold several components."""
+    rows = members.filter("n > 2").select("bucket", "key", F.col("pivot").alias("first"))
+    placed = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+    return materialize(members.sparkSession, rows.join(several, "bucket", "left_semi"), "unsettled")
+
+
+def _unshared(candidates: DataFrame, open_: DataFrame, ln_idf) -> DataFrame:
+    """(key, own): the weight of the shingles that no other text of the open buckets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, unique, levels, starts in weighted_sets(batch.column(1), ln_idf.value):
+                owner = np.repeat(np.arange(lo, hi), np.diff(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(np.exp(levels * LEVEL))], ["shingle", "key", "w"])
+
+    texts = candidates.join(open_.select("key").distinct(), "key", "left_semi").select("key", "text")
+    counted = texts.mapInArrow(run, "shingle long, key binary, w double").groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.max("w").alias("w"))
+    own = F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(0.0)).alias("own")
+    return open_.select("key").distinct().join(counted.groupBy("key").agg(own), "key", "left").select("key", F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
+def _agreeing(members: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a member and a pivot of its bucket that lie in different components, whose common weights
+    allow the similarity, and whose samples agree often enough. A member meets PIVOTS_A_ROW pivots in a row;
+    only pairs that pass become rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, roots, sketches, weights, commons, rows = batch.columns
+            lists = rows.flatten()
+            p_keys, p_roots, p_sketches, p_weights, p_commons = (lists.field(i) for i in range(5))
+            owner = np.repeat(np.arange(len(batch)), np.diff(rows.offsets.to_numpy()))
+            own, own_at = utf8_buffers(sketches)
+            other, other_at = utf8_buffers(p_sketches)
+            mine = own[own_at[0] : own_at[-1]].reshape(-1, _K)
+            theirs = other[other_at[0] : other_at[-1]].reshape(-1, _K)
+            agree = np.zeros(len(owner), bool)
+            for lo in range(0, len(owner), 1 << 14):
+                part = slice(lo, lo + (1 << 14))
+                agree[part] = (mine[owner[part]] == theirs[part]).mean(axis=1) >= AGREEMENT
+            most = np.minimum(commons.to_numpy()[owner], p_commons.to_numpy())
+            bound = most / (weights.to_numpy()[owner] + p_weights.to_numpy() - most)
+            found = np.flatnonzero(agree & (bound >= threshold - SLACK))
+            left, right = keys.take(pa.array(owner[found])).to_pylist(), p_keys.take(pa.array(found)).to_pylist()
+            apart = [x != y for x, y in zip(roots.take(pa.array(owner[found])).to_pylist(), p_roots.take(pa.array(found)).to_pylist(), strict=True)]
+            pairs = [(min(x, y), max(x, y)) for x, y, different in zip(left, right, apart, strict=True) if different]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+    # At most PIVOTS_A_ROW of a bucket are gathered in a row.
+    rows = pivots.groupBy("bucket", F.floor((F.col("turn") - 1) / PIVOTS_A_ROW).alias("row")).agg(F.collect_list(F.struct("key", "root", "sketch", "weight", "common")).alias("pivots"))
+    met = members.filter("key <> first").join(rows.select("bucket", "pivots"), "bucket")
+    return met.select("key", "root", "sketch", "weight", "common", "pivots").mapInArrow(run, "a binary, b binary")
+
+
 def _candidate_texts(texts: DataFrame, wanted: DataFrame, ln_idf) -> DataFrame:
     """(key, text) of the wanted classes (key, doc_id), one row each."""
 
@@ -210,33 +287,44 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     texts = docs.select("doc_id", F.lower(text_or_empty()).alias("text"))
     ln_idf = spark.sparkContext.broadcast(_ln_idf(texts))
     signed = materialize(spark, _signatures(texts, ln_idf), "signatures")
-    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("rarity").alias("rarity"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = materialize(spark, classes, "classes")
 
-    members = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(spark, members.join(shared, "bucket"), "buckets")
+    members = classes.select("key", "rarity", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min(F.struct("rarity", "key")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    members = members.join(shared, "bucket").select("bucket", "key", F.col("pivot.key").alias("pivot"), "n")
+    members = materialize(spark, members, "buckets")
     wanted = members.select("key").distinct().join(classes.select("key", "rep_id"), "key")
     candidates = materialize(spark, _candidate_texts(texts, wanted, ln_idf), "candidate-texts")
 
-    pairs = members.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    edges = materialize(spark, _verified(pairs, candidates, ln_idf, threshold), "links")
-    roots = connected_components(edges)
-    done = spark.createDataFrame([], "bucket long, key binary")  # pivots so far, besides each bucket's first
+    pairs = members.filter("key <> pivot").select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
+    tested = materialize(spark, pairs, "pairs")
+    roots = connected_components(_verified(tested, candidates, ln_idf, threshold))
+
+    # Buckets of two are settled. In the others, members outside the largest component are pivots in turn.
+    open_ = _unsettled(members, roots)
+    shared = classes.select("key", "weight", "sketch").join(_unshared(candidates, open_, ln_idf), "key").withColumn("common", F.col("weight") - F.col("own"))
+    # A text of which a larger share is its own cannot be similar to any other.
+    open_ = open_.join(shared.filter(F.col("common") >= (threshold - SLACK) * F.col("weight")).drop("own"), "key")
+    done = spark.createDataFrame([], "bucket long, key binary")
     while True:
-        placed = members.filter("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = open_.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         placed = materialize(spark, placed, "placed")
         sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
         largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", F.col("top.root").alias("main"))
-        minor = placed.join(largest, "bucket").filter("root <> main AND key <> pivot").join(done, ["bucket", "key"], "left_anti")
-        first = Window.partitionBy("bucket").orderBy("key")
-        pivots = minor.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= PIVOTS).select("bucket", F.col("key").alias("p"), F.col("root").alias("p_root"))
-        pivots = materialize(spark, pivots, "pivots")
+        minor = placed.join(largest, "bucket").filter("root <> main AND key <> first").join(done, ["bucket", "key"], "left_anti")
+        in_turn = Window.partitionBy("bucket").orderBy("key")
+        pivots = minor.withColumn("turn", F.row_number().over(in_turn)).filter(F.col("turn") <= PIVOTS)
+        pivots = materialize(spark, pivots.select("bucket", "turn", "key", "root", "sketch", "weight", "common"), "pivots")
         if pivots.isEmpty():
             break
-        pairs = placed.join(pivots, "bucket").filter("root <> p_root AND key <> pivot").select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        still = placed.join(pivots.select("bucket").distinct(), "bucket", "left_semi")
+        pairs = _agreeing(still, pivots, threshold).distinct()
+        pairs = materialize(spark, pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
         more = materialize(spark, _verified(pairs, candidates, ln_idf, threshold), "links")
-        done = done.union(pivots.select("bucket", "p"))
+        done = done.union(pivots.select("bucket", "key"))
+        open_ = still.drop("root")
         if not more.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
