@@ -104,7 +104,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_dig
     state.ingest(arrivals(docs, digest))
     decided = (
         state.arrived()
-        .join(state.kept(), "digest")
+        .join(materialize(spark, state.kept(), "dedup-kept"), "digest")  # a table, so that a hot digest's join can be split
         .select("doc_id", "arrival", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.arrival").alias("keep_arrival"), F.col("keep.locator").alias("keep_locator"), "group_size")
     )
     decided = materialize(spark, decided, "dedup-decided")
