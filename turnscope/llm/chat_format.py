@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import blocks, utf8_buffers
+from turnscope.llm.common import blocks, bound_batches, utf8_buffers
 
 START, END = "<|im_start|>", "<|im_end|>"
 BLOCK_BYTES = 1 << 20
@@ -66,6 +66,7 @@ def assemble(columns: list[pa.Array | bytes]) -> tuple[np.ndarray, np.ndarray, l
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, part, text, loss): the formatted turns of a conversation in parts that hold whole turns,
     and the byte ranges under the loss mask as [start, end, start, end, ...] within the part."""
+    bound_batches(conversations.sparkSession)
     kind = dict(conversations.select("conv_id").dtypes)["conv_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,6 +48,15 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small: ten thousand long texts at once would not fit a Python worker."""
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = as_bytes(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. ``lower`` does exactly that for pure ASCII, and is faster."""
     pure = F.length(text) == F.octet_length(text)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import text_or_empty
+from turnscope.llm.common import bound_batches, text_or_empty
 from turnscope.llm.words import ngrams, word_blocks
 
 THRESHOLD = 0.5
@@ -158,6 +158,7 @@ def _word_rates(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
 
 def seed_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Seeds]:
     """Seeds of the whole benchmark, in blocks of about BLOCK_CHARS characters."""
+    bound_batches(docs.sparkSession)
     items = benchmark.select("item_id", F.lower(text_or_empty()).alias("text")).distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     number = -(-chars // BLOCK_CHARS)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import materialize, text_or_empty, utf8_buffers
+from turnscope.llm.common import bound_batches, materialize, text_or_empty, utf8_buffers
 from turnscope.llm.components import connected_components
 from turnscope.llm.words import mix, shingles, word_blocks
 
@@ -284,6 +284,7 @@ def _candidate_texts(texts: DataFrame, wanted: DataFrame, ln_idf) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, copies (rows with the same weighted set), kept."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select("doc_id", F.lower(text_or_empty()).alias("text"))
     ln_idf = spark.sparkContext.broadcast(_ln_idf(texts))
     signed = materialize(spark, _signatures(texts, ln_idf), "signatures")

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import text_or_empty
+from turnscope.llm.common import bound_batches, text_or_empty
 from turnscope.llm.token_count import PATTERN
 
 END_ID = 0
@@ -70,9 +70,10 @@ def binary_pieces(length: int, longest: int) -> list[int]:
     return pieces + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, vocabulary: str, longest: int = 1024) -> DataFrame:
-    """One row per sequence: doc_id, start, ids, doc_tokens, bucket (its length), sequence_id, offset (always 0)."""
+def _pieces(docs: DataFrame, vocabulary: str, longest: int, digests: bool) -> DataFrame:
+    bound_batches(docs.sparkSession)
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32" if digests else "ids"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).ids
@@ -90,30 +91,25 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = 1024) -> DataFrame:
                     flat.append(ids)
                 if not rows:
                     continue
-                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array(np.concatenate(starts), pa.int64()), pieces, pa.array(totals, pa.int64()), pa.array(lengths, pa.int32())],
-                    ["doc_id", "start", "ids", "doc_tokens", "bucket"],
-                )
-
-    pieces = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(split, f"doc_id {kind}, start long, ids array<int>, doc_tokens long, bucket int")
+                ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                ids = np.concatenate(flat).astype("<i4")
+                if digests:
+                    last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(starts), pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), last], names)
+
+    last = "ids_crc32 long" if digests else "ids array<int>"
+    pieces = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(split, f"doc_id {kind}, start long, length long, doc_tokens long, {last}")
     # Numbered by partition and row: unique, and the same again when a lost task is run again.
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
-def piece_digests(docs: DataFrame, vocabulary: str, longest: int = 1024) -> DataFrame:
-    """``pack`` with each piece's ids reduced to their length and CRC-32, in the same pass."""
-    packed = pack(docs, vocabulary, longest)
-    kind = dict(packed.dtypes)["doc_id"]
+def pack(docs: DataFrame, vocabulary: str, longest: int = 1024) -> DataFrame:
+    """One row per sequence: doc_id, start, length (its bucket), doc_tokens, ids, sequence_id, offset (always 0)."""
+    return _pieces(docs, vocabulary, longest, digests=False)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2)
-            flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
-            ends = np.concatenate(([0], np.cumsum(np.diff(ids.offsets.to_numpy()))))
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            length = np.diff(ends)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *(batch.column(i) for i in (3, 5, 6))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return packed.mapInArrow(digest, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+def piece_digests(docs: DataFrame, vocabulary: str, longest: int = 1024) -> DataFrame:
+    """``pack`` with each piece's ids reduced to their CRC-32 where they are made, so they need not be moved."""
+    return _pieces(docs, vocabulary, longest, digests=True)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import text_or_empty
+from turnscope.llm.common import bound_batches, text_or_empty
 
 #: How byte-level vocabularies of this family cut a text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,6 +123,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             counts = [rules.count(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text"))
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
     return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")

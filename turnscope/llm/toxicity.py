@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import materialize, text_or_empty, utf8_buffers
+from turnscope.llm.common import bound_batches, materialize, text_or_empty, utf8_buffers
 from turnscope.llm.words import mix, word_blocks
 
 #: Bound on the labelled rows that train the classifier, and on those scanned for more lexicon words.
@@ -111,8 +111,7 @@ class LabelModel:
 
 
 def fit_label_model(patterns: DataFrame, fixed: int, voters: int, rounds: int = 25) -> LabelModel:
-    """``patterns``: (mask, n), how many rows have each vote pattern. The first ``fixed`` voters start the fit."""
-    bit = lambda j: F.col("mask").bitwiseAND(F.lit(1 << j)) != 0
+    """``patterns``: (fired, n), how many rows have each list of fired voters. The first ``fixed`` voters start the fit."""
     prior, fire = 0.05, np.full((2, voters), 0.05)
     fire[1, :fixed], fire[0, :fixed] = 0.2, 0.002
     fire[1, -3], fire[0, -3] = 0.3, 0.03
@@ -123,17 +122,18 @@ def fit_label_model(patterns: DataFrame, fixed: int, voters: int, rounds: int =
     def scored(m: LabelModel) -> DataFrame:
         on = np.log(m.fire[1] / m.fire[0])
         off = np.log((1 - m.fire[1]) / (1 - m.fire[0]))
-        logit = F.lit(math.log(m.prior / (1 - m.prior)))
-        for j in range(voters):
-            logit = logit + F.when(bit(j), F.lit(float(on[j]))).otherwise(F.lit(float(off[j])))
+        terms = F.array(*(F.lit(float(x)) for x in on - off))
+        constant = math.log(m.prior / (1 - m.prior)) + float(off.sum())
+        logit = F.aggregate("fired", F.lit(constant), lambda total, j: total + F.get(terms, j))
         return patterns.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
 
     def expectation(m: LabelModel) -> tuple[np.ndarray, np.ndarray]:
-        p1, p0 = F.col("p") * F.col("n"), (1 - F.col("p")) * F.col("n")
-        sums = [F.sum(p1), F.sum(p0), *(F.sum(F.when(bit(j), q).otherwise(0.0)) for q in (p1, p0) for j in range(voters))]
-        row = scored(m).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
-        got = np.array([x or 0.0 for x in row], float)
-        return got[:2], got[2:].reshape(2, voters)
+        rows = scored(m).select("n", "p", F.explode(F.concat(F.array(F.lit(-1)), "fired")).alias("j"))
+        sums = rows.groupBy("j").agg(F.sum(F.col("p") * F.col("n")).alias("one"), F.sum((1 - F.col("p")) * F.col("n")).alias("zero")).collect()
+        got = np.zeros((2, voters + 1))
+        for r in sums:  # one row per voter, and -1 for all rows
+            got[:, r["j"]] = r["one"], r["zero"]
+        return got[:, -1], got[:, :-1]
 
     for _ in range(rounds):
         (n1, n0), fired = expectation(model)
@@ -148,8 +148,7 @@ def fit_label_model(patterns: DataFrame, fixed: int, voters: int, rounds: int =
         if change < 1e-3:
             break
     # Pairwise sums: at most voters squared rows come back.
-    on = F.filter(F.array(*(F.when(bit(j), F.lit(j)) for j in range(voters))), lambda x: x.isNotNull())
-    pairs = scored(model).select("n", "p", on.alias("on")).select("n", "p", "on", F.explode("on").alias("i")).select("n", "p", "i", F.explode("on").alias("j")).filter("i < j")
+    pairs = scored(model).select("n", "p", "fired", F.explode("fired").alias("i")).select("n", "p", "i", F.explode("fired").alias("j")).filter("i < j")
     both = pairs.groupBy("i", "j").agg(F.sum(F.col("p") * F.col("n")).alias("one")).collect()
     (n1, _), _ = expectation(model)
     a = model.fire[1]
@@ -242,6 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, training: str) -> tuple[Classifier
     """Fit the label model and the classifier. ``docs``: doc_id, text; ``labels``: doc_id, toxic; ``training``: SQL
     that says of a doc_id whether its labels may be learnt from."""
     spark = docs.sparkSession
+    bound_batches(spark)
     bound = TRAIN_ROWS
     gold = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(training).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # bounded, so small enough to send
@@ -280,7 +280,9 @@ def train(docs: DataFrame, labels: DataFrame, training: str) -> tuple[Classifier
     says = F.when(F.col("toxic") == 1, F.lit(1 << fixed)).when(F.col("toxic") == 0, F.lit(1 << (fixed + 1))).otherwise(F.lit(0))
     silent = F.when(F.col("mask") == 0, F.lit(1 << (fixed + 2))).otherwise(F.lit(0))
     mask = F.col("mask").bitwiseOR(says).bitwiseOR(silent)
-    patterns = materialize(spark, voted.groupBy(mask.alias("mask")).agg(F.count("*").alias("n")), "toxicity-votes")
+    fired = F.filter(F.sequence(F.lit(0), F.lit(voters - 1)), lambda j: F.call_function("getbit", F.col("mask"), j) == 1)
+    counted = voted.groupBy(mask.alias("mask")).agg(F.count("*").alias("n")).select(fired.alias("fired"), "n")
+    patterns = materialize(spark, counted, "toxicity-votes")
     model = fit_label_model(patterns, fixed, voters)
 
     fired = np.zeros((len(toxic), voters))
@@ -304,6 +306,7 @@ def lexicon_classifier() -> Classifier:
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """``docs`` with a column ``toxicity``; the classifier's size is fixed by FEATURES, so it can be sent along."""
+    bound_batches(docs.sparkSession)
     used = np.flatnonzero(classifier.weights)
     sparse = (used.astype(np.int32), classifier.weights[used])
     bias = classifier.bias

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from turnscope.llm.common import blocks, utf8_buffers
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _SPAN = 64
 
 _rng = np.random.Generator(np.random.PCG64(20260101))
@@ -77,7 +77,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     hashes, begins, at = [], [], base
     row_starts = offsets[:-1] - base
     while at < end:
-        stop = min(at + 2 * BLOCK_BYTES, end)
+        stop = min(at + 4 * BLOCK_BYTES, end)
         while stop < end and _LETTER[data[stop - 1]] and _LETTER[data[stop]]:
             back = np.flatnonzero(_LETTER[data[at:stop]] == 0)
             if len(back):
