@@ -1,10 +1,379 @@
-"""Registered queries of the session-search operators and the SQL that expects the same rows."""
+"""Registered queries of the session-search operators and the SQL that expects the same rows.
+
+Driver tables stand in for sessions: a conversation is a session, its rows are entries, and its project follows
+from its number. Operators that these tables cannot exercise get literal rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnscope.functions.redaction import redact_col
+from turnscope.functions.text import clip_col, first_line_col
+from turnscope.operators import extract, fulltext, lookup, turns
+from turnscope.plans.engine import filtered
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+NOW_MS = 1_800_000_000_000
+EPOCH_MS, DAY_MS = 1_700_000_000_000, 86_400_000
+KEY = ["session", "entry_id"]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as entry rows."""
+    rows = _table(spark, sf_dir, "conversations")
+    block = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit("").alias("name"), F.lit("null").alias("args"), F.lit("").alias("content"), F.lit(False).alias("is_error"))
+    return rows.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("offset"), F.col("turn").alias("entry_id"), (F.lit(EPOCH_MS) + F.col("conv_id") * DAY_MS + F.col("turn") * 1000).alias("ts"), "role", F.array(block).alias("blocks"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the conversations, as the index has them."""
+    project = F.concat(F.lit("/work/p"), (F.col("session").cast("long") % 7).cast("string"))
+    assembled = turns.assemble_turns(_entries(spark, sf_dir))
+    placed = assembled.withColumns({"cwd": project, "project_key": project, "project_name": F.substring_index(project, "/", -1)})
+    return extract.extract(placed, redacted=False)
+
+
+_TURNS_SQL = r"""
+marked AS (
+  SELECT conv_id, turn, role, text, 1700000000000 + conv_id * 86400000 + turn * 1000 AS date,
+         sum(CASE WHEN role = 'user' AND trim(text, E' \n\t\r') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n
+  FROM conversations),
+turns AS (
+  SELECT conv_id::VARCHAR AS session, min(turn) AS entry_id, min(date) AS date, '/work/p' || (conv_id % 7) AS project_key, 'p' || (conv_id % 7) AS project_name,
+         arg_min(trim(text, E' \n\t\r'), turn) AS prompt,
+         coalesce(string_agg(text, E'\n\n' ORDER BY turn) FILTER (role = 'assistant' AND trim(text, E' \n\t\r') <> ''), '') AS reply,
+         count(*) FILTER (role = 'assistant' AND trim(text, E' \n\t\r') <> '') > 0 AS has_reply,
+         coalesce(arg_max(text, turn) FILTER (role = 'assistant' AND trim(text, E' \n\t\r') <> ''), '') AS last_text
+  FROM marked WHERE n > 0 GROUP BY conv_id, n)"""
+
+
+@_query(f"""WITH {_TURNS_SQL}
+SELECT session, entry_id, date, left(prompt, 200) AS prompt_start, left(reply, 500) AS reply_start, has_reply,
+       CASE WHEN length(g) <= 300 THEN g ELSE left(g, 299) || '…' END AS gist
+FROM (SELECT *, regexp_replace(trim(regexp_extract(last_text, '[^\\s].*')), '\\s+', ' ', 'g') AS g FROM turns)""")
+def turn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir)
+    return rows.select("session", "entry_id", "date", F.substring("prompt", 1, 200).alias("prompt_start"), F.substring("reply", 1, 500).alias("reply_start"), "has_reply", "gist")
+
+
+# Two sessions: one rewound at entry 2, one with a cycle; (session, offset, entry_id, parent_id).
+_WALKS = [("a", 0, 1, None), ("a", 10, 2, 1), ("a", 20, 3, 2), ("a", 30, 4, 2), ("a", 40, 5, 4), ("b", 0, 7, 9), ("b", 10, 8, 7), ("b", 20, 9, 8), ("c", 0, 1, None), ("c", 10, 2, 99)]
+_WALKS_SQL = ", ".join(f"('{s}', {o}, {e}, {'NULL' if p is None else p})" for s, o, e, p in _WALKS)
+
+
+@_query(f"""WITH RECURSIVE entries(session, "offset", entry_id, parent_id) AS (VALUES {_WALKS_SQL}),
+walk AS (
+  SELECT session, entry_id, parent_id, [entry_id] AS seen FROM entries QUALIFY row_number() OVER (PARTITION BY session ORDER BY "offset" DESC) = 1
+  UNION ALL
+  SELECT e.session, e.entry_id, e.parent_id, list_append(w.seen, e.entry_id) FROM walk w JOIN entries e ON e.session = w.session AND e.entry_id = w.parent_id WHERE NOT list_contains(w.seen, e.entry_id))
+SELECT w.session, w.entry_id, arg_min(w.entry_id, e."offset") OVER (PARTITION BY w.session) AS root FROM walk w JOIN entries e USING (session, entry_id)""")
+def active_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame(_WALKS, "session string, offset long, entry_id long, parent_id long")
+    branch = turns.active_branch(entries)
+    return branch.join(turns.branch_roots(branch), "session").select("session", "entry_id", "root")
+
+
+# (session, offset, ts, boundary): copies follow the first boundary; after the gap everything counts again.
+_COMPACTED = [("a", 0, 100, False), ("a", 1, 1000, True), ("a", 2, 1200, False), ("a", 3, 1500, False), ("a", 4, 1501, False), ("a", 5, 1100, False), ("a", 6, 9000, True), ("a", 7, 9400, False), ("b", 0, 5, False)]
+_COMPACTED_SQL = ", ".join(f"('{s}', {o}, {t}, {str(b).lower()})" for s, o, t, b in _COMPACTED)
+
+
+@_query(f"""WITH entries(session, "offset", ts, boundary) AS (VALUES {_COMPACTED_SQL}),
+grouped AS (SELECT *, sum(boundary::INT) OVER (PARTITION BY session ORDER BY "offset") AS g FROM entries),
+flagged AS (SELECT *, abs(ts - first_value(ts) OVER (PARTITION BY session, g ORDER BY "offset")) > 500 AS outside FROM grouped),
+ran AS (SELECT *, max(outside::INT) OVER (PARTITION BY session, g ORDER BY "offset") AS gone FROM flagged)
+SELECT session, "offset", ts FROM ran WHERE NOT boundary AND (g = 0 OR gone = 1)""")
+def compaction_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame(_COMPACTED, "session string, offset long, ts long, boundary boolean")
+    return turns.skip_compaction(entries).select("session", "offset", "ts")
+
+
+_TOKENS_SQL = r"""
+lists AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM documents),
+tokens AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM lists),
+stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tokens)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl),
+lengths AS (SELECT doc_id, len(l) AS dl FROM lists)"""
+
+
+def _document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents")
+    index = fulltext.postings(docs, ["doc_id"], ["text"], fulltext.plain_tokens)
+    lengths = docs.select("doc_id", F.size(fulltext.plain_tokens(F.coalesce("text", F.lit("")))).alias("dl"))
+    return index, lengths, fulltext.corpus_stats(docs, lengths)
+
+
+def _plain(term: str) -> list[str]:
+    import re
+
+    return [t for t in re.split(r"[\W_]+", term.lower()) if t]
+
+
+def _document_search(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    index, lengths, stats = _document_index(spark, sf_dir)
+    return fulltext.matches(index, lengths, stats, fulltext.parse_query(text), ["doc_id"], _plain)
+
+
+def _bm25_sql(words: list[str], phrases: list[str], excluded: list[str]) -> str:
+    """BM25 over documents, term by term; a phrase is found by the positions of its words."""
+    hits = []
+    for t in dict.fromkeys([*words, *phrases, *excluded]):
+        parts = t.split()
+        joins = "".join(f" JOIN tokens t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.pos = t0.pos + {i} AND t{i}.term = '{w}'" for i, w in enumerate(parts) if i)
+        hits.append(f"SELECT t0.doc_id, '{t}' AS phrase, count(*)::DOUBLE AS f FROM tokens t0{joins} WHERE t0.term = '{parts[0]}' GROUP BY 1")
+    scored = phrases + (phrases[:1] if words else []) + words
+    times = " ".join(f"WHEN phrase = '{t}' THEN {scored.count(t)}" for t in dict.fromkeys(scored))
+    some = lambda names: ", ".join(f"'{p}'" for p in names) or "''"
+    return f"""
+hits AS ({" UNION ALL ".join(hits)}),
+df AS (SELECT phrase, count(*) AS df FROM hits GROUP BY 1),
+parts AS (
+  SELECT doc_id, phrase, CASE {times} ELSE 0 END AS times, f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS tf,
+         CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf
+  FROM hits JOIN df USING (phrase) JOIN lengths USING (doc_id), stats),
+matched AS (
+  SELECT doc_id, -sum(times * idf * tf) AS bm25 FROM parts GROUP BY doc_id
+  HAVING count(*) FILTER (phrase IN ({some(phrases)})) = {len(phrases)} AND count(*) FILTER (phrase IN ({some(excluded)})) = 0 AND max(times) > 0)"""
+
+
+def _search_sql(words: list[str], phrases: list[str], excluded: list[str]) -> str:
+    return f"WITH {_TOKENS_SQL}, {_bm25_sql(words, phrases, excluded)} SELECT doc_id, round(bm25, 6) AS bm25 FROM matched"
+
+
+@_query(f"WITH {_TOKENS_SQL} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n, max(pos)::BIGINT AS last_pos FROM tokens GROUP BY term")
+def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _, _ = _document_index(spark, sf_dir)
+    per_doc = index.groupBy("term", "doc_id").agg(F.count("*").alias("f"), F.max("pos").alias("last"))
+    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("n"), F.max("last").cast("long").alias("last_pos"))
+
+
+def _rounded(matched: DataFrame) -> DataFrame:
+    return matched.select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@_query(_search_sql(["license", "worthless", "idiot"], [], []))
+def search_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_document_search(spark, sf_dir, "license worthless idiot"))
+
+
+@_query(_search_sql(["software"], ["under the", "apache license"], []))
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_document_search(spark, sf_dir, '"under the" software "apache license"'))
+
+
+@_query(_search_sql(["license", "clown"], [], ["apache", "idiot"]))
+def search_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_document_search(spark, sf_dir, "license clown -apache -idiot"))
+
+
+@_query(f"WITH {_TOKENS_SQL}, {_bm25_sql(['the', 'license', 'scum'], [], [])} SELECT doc_id, round(bm25, 6) AS bm25 FROM matched ORDER BY matched.bm25, doc_id LIMIT {fulltext.CANDIDATES}")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the best candidates of a search."""
+    return _rounded(_document_search(spark, sf_dir, "the license scum").orderBy("bm25", "doc_id").limit(fulltext.CANDIDATES))
+
+
+_RESCORED_WORDS = ("the", "and")
+_RESCORED_SQL = rf"""WITH {_TURNS_SQL},
+cols AS (SELECT session, entry_id, 3.0 AS w, prompt AS text FROM turns UNION ALL SELECT session, entry_id, 1.0, reply FROM turns),
+tokens AS (SELECT session, entry_id, w, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM cols),
+stats AS (SELECT (SELECT count(*) FROM turns) AS n, (SELECT count(*) FROM tokens)::DOUBLE / (SELECT count(*) FROM turns) AS avgdl),
+lengths AS (SELECT session, entry_id, count(*) AS dl FROM tokens GROUP BY 1, 2),
+hits AS (SELECT session, entry_id, term, sum(w)::DOUBLE AS f FROM tokens WHERE term IN {_RESCORED_WORDS} GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
+matched AS (
+  SELECT session, entry_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25
+  FROM hits JOIN df USING (term) JOIN lengths USING (session, entry_id), stats GROUP BY 1, 2),
+best AS (SELECT * FROM matched JOIN turns USING (session, entry_id) ORDER BY bm25, session, entry_id LIMIT 200),
+scored AS (SELECT *, -bm25 * (1 + 0.3 * exp(-(greatest({NOW_MS} - date, 0) / 86400000.0) / 90)) * (CASE WHEN has_reply THEN 1.0 ELSE 0.5 END) AS score FROM best)
+"""
+
+
+@_query(_RESCORED_SQL + "SELECT session, entry_id, round(bm25, 6) AS bm25, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, date DESC, scored.bm25, session, entry_id LIMIT 20")
+def rescored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of twenty: candidates by BM25, rescored by recency and whether they were answered."""
+    rows = _turns(spark, sf_dir)
+    index = fulltext.postings(rows, KEY, ["prompt", "reply"], fulltext.plain_tokens)
+    lengths = fulltext.document_lengths(index, KEY)
+    matched = fulltext.matches(index, lengths, fulltext.corpus_stats(rows, lengths), fulltext.parse_query(" ".join(_RESCORED_WORDS)), KEY, _plain, fulltext.TURN_WEIGHTS)
+    page = fulltext.ranked(matched.join(rows.select(*KEY, "date", "has_reply"), KEY), KEY, NOW_MS, 20)
+    return page.select(*KEY, F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+
+
+@_query(f"""WITH {_TURNS_SQL},
+found AS (SELECT session, entry_id, project_key FROM turns WHERE contains(lower(prompt), 'license') OR contains(lower(reply), 'the'))
+SELECT session, entry_id, project_key, false AS other_project FROM found WHERE project_key = '/work/none'
+UNION ALL
+SELECT session, entry_id, project_key, true FROM found WHERE project_key <> '/work/none' AND (SELECT count(*) FROM found WHERE project_key = '/work/none') = 0""")
+def project_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What matches in a project; where that is nothing, what matches in the others."""
+    rows = _turns(spark, sf_dir).filter(F.contains(F.lower("prompt"), F.lit("license")) | F.contains(F.lower("reply"), F.lit("the")))
+    inside = filtered(rows, ("/work/none", True))
+    chosen = inside if not inside.isEmpty() else filtered(rows, ("/work/none", False))
+    return chosen.select(*KEY, "project_key", (F.col("project_key") != "/work/none").alias("other_project"))
+
+
+def _event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events")
+    return rows.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("entry_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("date"), (F.col("event_type") == "error").alias("failed"))
+
+
+@_query("SELECT user_id::VARCHAR AS session, event_id AS entry_id, epoch_us(ts) AS date FROM events ORDER BY ts DESC, session, event_id LIMIT 20 OFFSET 5")
+def newest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of an empty query: the newest turns."""
+    return _event_turns(spark, sf_dir).orderBy(F.desc("date"), *KEY).offset(5).limit(20).select(*KEY, "date")
+
+
+@_query("""WITH d AS (SELECT user_id::VARCHAR AS session, event_id AS entry_id, epoch_us(ts) AS date FROM events),
+b AS (SELECT min(date) + (max(date) - min(date)) // 4 AS lo, min(date) + (max(date) - min(date)) // 2 AS hi FROM d)
+SELECT session, entry_id, date FROM d, b WHERE date >= lo AND date <= hi""")
+def filter_since_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _event_turns(spark, sf_dir)
+    low, high = rows.agg(F.min("date"), F.max("date")).first()
+    since, until = (low + (high - low) // 4, low + (high - low) // 2) if low is not None else (None, None)
+    return filtered(rows, since=since, until=until).select(*KEY, "date")
+
+
+@_query("SELECT user_id::VARCHAR AS session, event_id AS entry_id FROM events WHERE event_type = 'error'")
+def filter_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(_event_turns(spark, sf_dir), failed=True).select(*KEY)
+
+
+@_query("SELECT page_id, url FROM pages WHERE instr(url, 'example.org/en/') > 0")
+def filter_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url", F.array("url").alias("files"))
+    return filtered(rows, file="example.org/en/").select("page_id", "url")
+
+
+@_query("SELECT session, count(*) AS n FROM (SELECT user_id::VARCHAR AS session FROM events) WHERE session <> '7' GROUP BY session")
+def exclude_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(_event_turns(spark, sf_dir), session="7").groupBy("session").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_TURNS_SQL} SELECT project_key AS key, max(project_name) AS name, lower(max(project_name)) AS name_lower, count(*) AS turns FROM turns GROUP BY project_key")
+def project_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.project_rollup(_turns(spark, sf_dir))
+
+
+@_query(f"WITH {_TURNS_SQL} SELECT count(*) AS turns, count(DISTINCT session) AS sessions, count(DISTINCT project_key) AS projects, coalesce(sum(has_reply::INT), 0)::BIGINT AS answered FROM turns")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir)
+    return rows.agg(F.count("*").alias("turns"), F.countDistinct("session").alias("sessions"), F.countDistinct("project_key").alias("projects"), F.coalesce(F.sum(F.col("has_reply").cast("int")), F.lit(0)).cast("long").alias("answered"))
+
+
+@_query(f"""WITH {_TURNS_SQL}, numbered AS (SELECT session, entry_id, row_number() OVER (PARTITION BY session ORDER BY entry_id) AS at_ FROM turns)
+SELECT t.entry_id AS target, n.session, n.entry_id FROM numbered t JOIN numbered n ON n.session = t.session AND n.at_ BETWEEN t.at_ - 2 AND t.at_ + 2""")
+def show_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).select(*KEY)
+    return lookup.neighbours_of_all(rows, rows, 2)
+
+
+_TIERS_SQL = """
+SELECT key, name, CASE WHEN key = '{0}' THEN 1 WHEN name = '{0}' THEN 2 WHEN lower(name) = lower('{0}') THEN 3 WHEN contains(lower(name), lower('{0}')) THEN 4
+                       WHEN jaro_winkler_similarity(lower(name), lower('{0}')) >= 0.85 THEN 5 ELSE 0 END AS tier, '{0}' AS asked
+FROM (SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation)"""
+_ASKED = ("7", "nation_3", "NATION_12", "tion_2", "nashun_1", "zzz")
+
+
+@_query(" UNION ALL ".join(_TIERS_SQL.format(a) for a in _ASKED))
+def resolve_project_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name"), F.lower("n_name").alias("name_lower"))
+    parts = [lookup.project_tiers(names, a).select("key", "name", F.coalesce("tier", F.lit(0)).alias("tier"), F.lit(a).alias("asked")) for a in _ASKED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@_query("SELECT c_name AS session, c_name = 'Customer#000000010' AS exact FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY exact DESC, session LIMIT 11")
+def session_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The at most eleven sessions that an ambiguity message draws on."""
+    names = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("session"))
+    found = lookup.session_candidates(names, "Customer#00000001")
+    return found.select("session", (F.col("session") == "Customer#000000010").alias("exact"))
+
+
+@_query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+def gone_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, sf_dir, "customer").select("c_custkey").join(present, "c_custkey", "left_anti")
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def upsert_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    fresh = stored.filter("o_orderstatus = 'F'").withColumn("o_orderpriority", F.lit("done"))
+    return lookup.upsert(stored, fresh, ["o_orderkey"]).select("o_orderkey", "o_orderpriority")
+
+
+_OUTPUTS = [
+    (1, "[main 0123abc] Fix the parser\n 1 file changed", False),
+    (2, "done\n[feat/x (root-commit) fedcba9876543210] First", False),
+    (3, "exit 1\nno such file", False),
+    (4, "\n  exit 0\n[main 0123abc] again [main zzz] no", False),
+    (5, "text exit 2", True),
+    (6, "exit 99999999999999999999", False),
+    (7, "", False),
+    (8, "exit 007", False),
+]
+_OUTPUTS_SQL = ", ".join("({}, '{}', {})".format(i, c.replace("\n", "' || chr(10) || '"), str(e).lower()) for i, c, e in _OUTPUTS)
+
+
+def _outputs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_OUTPUTS, "id long, content string, is_error boolean")
+
+
+@_query(rf"""WITH outputs(id, content, is_error) AS (VALUES {_OUTPUTS_SQL})
+SELECT id::BIGINT AS id, array_to_string(regexp_extract_all(content, '(?m)^\[[^\]\s]+(?: \(root-commit\))? ([0-9a-f]{{7,40}})\] ', 1), ' ') AS commits FROM outputs""")
+def commit_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outputs(spark).select("id", F.array_join(extract.commits_col(F.array("content")), " ").alias("commits"))
+
+
+@_query(rf"""WITH outputs(id, content, is_error) AS (VALUES {_OUTPUTS_SQL})
+SELECT id::BIGINT AS id, is_error OR coalesce(TRY_CAST(nullif(regexp_extract(content, '^\s*exit ([0-9]+)', 1), '') AS UBIGINT) <> 0, false) AS failed FROM outputs""")
+def exit_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outputs(spark).select("id", extract.failed_col(F.array(F.struct("content", "is_error"))).alias("failed"))
+
+
+@_query(r"""SELECT doc_id, CASE WHEN length(g) <= 300 THEN g ELSE left(g, 299) || '…' END AS gist
+FROM (SELECT doc_id, trim(regexp_replace(regexp_extract(coalesce(text, ''), '[^\s].*'), '\s+', ' ', 'g')) AS g FROM documents)""")
+def clip_gist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", clip_col(first_line_col(F.coalesce("text", F.lit(""))), 300).alias("gist"))
+
+
+_SECRETS = [(-1, "api_key=abc Authorization: Bearer qqq"), (-2, "use sk-live now"), (-3, "bearer of bad news"), (-4, 'token = "0123456789abcdef0123456789abcdef01234567"')]
+
+
+@_query(None)
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame(_SECRETS, "doc_id long, text string")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(planted)
+    return rows.select("doc_id", redact_col(F.col("text")).alias("text"), redact_col(F.col("text"), True).alias("strict_text"))
+
+
+@_query(None)
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir)
+    index = fulltext.postings(rows, KEY, ["prompt", "reply"])
+    lengths = fulltext.document_lengths(index, KEY)
+    matched = fulltext.matches(index, lengths, fulltext.corpus_stats(rows, lengths), fulltext.parse_query('licenses "the"'), KEY, weights=fulltext.TURN_WEIGHTS)
+    return matched.select(*KEY, F.round("bm25", 6).alias("bm25"))
