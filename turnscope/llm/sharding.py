@@ -7,7 +7,8 @@ search, and the order is cut where that walk cuts.
 The driver never holds the groups. It holds a bounded number of segments of the digest order with their
 sizes and splits further, in Spark, only segments in which a cut can fall, until those are single groups;
 the result is that of the walk over all groups. A group larger than an even share has a shard of its own and
-the others share the rest, so one hot group does not starve the remaining shards.
+the others share the rest, so one hot group does not starve the remaining shards. Each stretch between such
+groups is cut at the least capacity for its own number of shards.
 
 Defined results: a null text counts as empty; a row's size is its UTF-8 bytes plus 1. With fewer groups than
 shards some shards are empty. An empty table gives no rows. Rows of a shard are numbered from 0 without
@@ -130,7 +131,10 @@ def plan_cuts(groups: DataFrame, shards: int) -> list[tuple[int, int, int]]:
         runs, giants = _runs(segments, shards)
         capacity = smallest_capacity([[s.size for s in r] for r in runs], max(shards - len(giants), len(runs)))
         # A segment of several groups may also hide a giant.
-        open_ = _loose(runs, capacity, max(shards - len(giants), 1)) | {s for r in runs for s in r if not s.atomic and s.size * shards > sum(x.size for x in segments)}
+        open_ = _loose(runs, capacity, max(shards - len(giants), 1))
+        for run, own, count in _own_capacities(runs, capacity):
+            open_ |= _loose([run], own, count)
+        open_ |= {s for r in runs for s in r if not s.atomic and s.size * shards > sum(x.size for x in segments)}
         if not open_ or step == 0:
             break
         step = max(0, step - NEXT_BITS)
@@ -142,14 +146,25 @@ def plan_cuts(groups: DataFrame, shards: int) -> list[tuple[int, int, int]]:
     shard = 0
     runs, giants = _runs(segments, shards)
     capacity = smallest_capacity([[s.size for s in r] for r in runs], max(shards - len(giants), len(runs)))
-    for part in sorted([*runs, *([g] for g in giants)], key=lambda r: r[0].low):
-        starts = [0, *greedy([s.size for s in part], capacity), len(part)]
+    parts = [(run, own) for run, own, _ in _own_capacities(runs, capacity)] + [([g], g.size) for g in giants]
+    for part, own in sorted(parts, key=lambda p: p[0][0].low):
+        starts = [0, *greedy([s.size for s in part], own), len(part)]
         for a, b in zip(starts, starts[1:], strict=False):
             cuts.append((part[a].low, part[b - 1].high, shard))
             shard += 1
     return cuts
 
 
+def _own_capacities(runs: list[list[Segment]], capacity: int) -> list[tuple[list[Segment], int, int]]:
+    """(run, the least capacity for as many shards as it needs at ``capacity``, that number): evens out each run."""
+    out = []
+    for run in runs:
+        sizes = [s.size for s in run]
+        count = len(greedy(sizes, capacity)) + 1
+        out.append((run, smallest_capacity([sizes], count), count))
+    return out
+
+
 def _within(groups: DataFrame, spans: DataFrame) -> DataFrame:
     """The groups inside the spans, which are at most as many as the driver's segments, so few enough to send."""
     keyed = groups.withColumn("p", F.shiftright("key", KEY_BITS - FIRST_BITS))

@@ -4,7 +4,7 @@ Many lexicon and pattern voters mark texts; labels on training rows are one more
 label model (a two-class mixture with a firing rate for each voter in each class) is fitted by expectation
 maximisation to the vote patterns of all training rows, and the pairwise correlations that it leaves within
 the classes lower the weight of voters that repeat each other. Its posterior labels train a linear classifier
-on hashed words, which scores every text.
+on words (by their 64-bit hashes, so that rare words do not pass for others), which scores every text.
 
 What grows with the data stays in Spark: vote patterns are counted there and every step of the fit is one
 aggregation with as many sums as there are voters. The classifier is trained on the driver, on at most
@@ -32,7 +32,6 @@ from turnscope.llm.words import mix, word_blocks
 
 #: Bound on the labelled rows that train the classifier, and on those scanned for more lexicon words.
 TRAIN_ROWS = 12_000
-FEATURES = 1 << 18
 MODEL_FEATURES = 256
 MINED_VOTERS = 12
 THRESHOLD = 0.7
@@ -64,27 +63,43 @@ def _lexicon_hashes() -> np.ndarray:
 
 
 def features(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs, each once."""
+    """(row, word hash) pairs in order, each once."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    pair = np.unique(row.astype(np.int64) * FEATURES + (h >> np.uint64(46)).astype(np.int64))
-    return pair // FEATURES, pair % FEATURES
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[first], h[first]
+
+
+class Keys:
+    """A few sorted word hashes to be found among many: a small table passes over nearly all of them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.table = np.zeros(1 << 16, bool)
+        self.table[(keys >> np.uint64(48)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``h``, place in the keys) of every hit."""
+        maybe = np.flatnonzero(self.table[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, h[maybe]), max(len(self.keys) - 1, 0))
+        same = self.keys[at] == h[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
+        return maybe[same], at[same]
 
 
 def votes(texts: pa.Array, mined: np.ndarray) -> np.ndarray:
     """A bit mask per text: lexicon words, patterns, then mined features."""
     known = _lexicon_hashes()
-    order = np.argsort(known)
+    bits = np.concatenate((np.arange(len(LEXICON)), N_FIXED + np.arange(len(mined)))).astype(np.int64)
+    hashes = np.concatenate((known, mined))
+    order = np.argsort(hashes)
+    keys, bits = Keys(hashes[order]), bits[order]
     out = np.zeros(len(texts), np.int64)
-    for lo, hi, h, _, rows in word_blocks(texts):
-        at = np.minimum(np.searchsorted(known[order], h), len(known) - 1)
-        hit = np.flatnonzero(known[order][at] == h)
-        owner = np.searchsorted(rows, hit, side="right") - 1
-        np.bitwise_or.at(out, lo + owner, np.int64(1) << order[at[hit]].astype(np.int64))
-        if len(mined):
-            row, feature = features(h, rows)
-            place = np.minimum(np.searchsorted(mined, feature), len(mined) - 1)
-            hit = np.flatnonzero(mined[place] == feature)
-            np.bitwise_or.at(out, lo + row[hit], np.int64(1) << (N_FIXED + place[hit]))
+    for lo, _, h, _, rows in word_blocks(texts):
+        place, key = keys.find(h)
+        owner = np.searchsorted(rows, place, side="right") - 1
+        np.bitwise_or.at(out, lo + owner, np.int64(1) << bits[key])
     data, offsets = utf8_buffers(texts)
     for i in range(len(texts)):
         raw = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -164,27 +179,33 @@ def fit_label_model(patterns: DataFrame, fixed: int, voters: int, rounds: int =
 
 @dataclass
 class Classifier:
+    """Weights of the words with the sorted hashes ``keys``; every other word has none."""
+
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
 
     def score(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        row, feature = features(h, rows)
-        margin = np.bincount(row, self.weights[feature], minlength=len(rows) - 1) + self.bias
+        place, key = Keys(self.keys).find(h)
+        row = np.searchsorted(rows, place, side="right") - 1
+        pairs = np.unique(row * max(len(self.keys), 1) + key)
+        row, key = pairs // max(len(self.keys), 1), pairs % max(len(self.keys), 1)
+        margin = np.bincount(row, self.weights[key], minlength=len(rows) - 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def train_classifier(row: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 40, ridge: float = 0.02, lift: float = 4.0, least: float = 5.0) -> Classifier:
+def train_classifier(row: np.ndarray, feature: np.ndarray, hashes: np.ndarray, target: np.ndarray, rounds: int = 40, ridge: float = 0.02, lift: float = 4.0, least: float = 5.0) -> Classifier:
     """Logistic regression on soft targets by Newton steps, with weights of at least 0, over the at most
-    MODEL_FEATURES features that raise the share of class 1 by ``lift`` with a mass of at least ``least``."""
+    MODEL_FEATURES features that raise the share of class 1 by ``lift`` with a mass of at least ``least``.
+    ``feature`` has places in the sorted ``hashes``."""
     n = len(target)
     share = min(max(float(target.mean()), 1e-3), 0.5) if n else 0.05
-    weights = np.zeros(FEATURES)
-    seen = np.bincount(feature, minlength=FEATURES)
-    mass = np.bincount(feature, target[row], minlength=FEATURES)
+    seen = np.bincount(feature, minlength=len(hashes))
+    mass = np.bincount(feature, target[row], minlength=len(hashes))
     good = np.flatnonzero((mass >= least) & (mass >= min(lift * share, 0.5) * seen))
     good = np.sort(good[np.argsort(-mass[good], kind="stable")][:MODEL_FEATURES])
     if not len(good):
-        return Classifier(weights, math.log(share / (1 - share)))
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), math.log(share / (1 - share)))
     keep = np.isin(feature, good)
     x = np.zeros((n, len(good) + 1))
     x[row[keep], np.searchsorted(good, feature[keep])] = 1
@@ -206,13 +227,12 @@ def train_classifier(row: np.ndarray, feature: np.ndarray, target: np.ndarray, r
         w = new
         if done:
             break
-    weights[good] = w[:-1]
-    return Classifier(weights, float(w[-1]))
+    return Classifier(hashes[good], w[:-1], float(w[-1]))
 
 
 def _distinct(row: np.ndarray, feature: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
     """Of rows that share a min-hash of their less frequent features - near copies, mostly - only the first."""
-    seen = np.bincount(feature, minlength=FEATURES)
+    seen = np.bincount(feature)
     rare = seen[feature] <= max(2, n // 20)
     row, feature = row[rare], feature[rare]
     chosen = np.bincount(row, minlength=n) > 0
@@ -230,8 +250,8 @@ def _distinct(row: np.ndarray, feature: np.ndarray, n: int, rounds: int = 4) ->
 
 def _mine(row: np.ndarray, feature: np.ndarray, gold: np.ndarray) -> np.ndarray:
     """Features that training labels mark as toxic nearly always: voters for words the lexicon lacks."""
-    seen = np.bincount(feature, minlength=FEATURES)
-    bad = np.bincount(feature, gold[row].astype(float), minlength=FEATURES)
+    seen = np.bincount(feature)
+    bad = np.bincount(feature, gold[row].astype(float))
     precision = (bad + 0.5) / (seen + 2)
     good = np.flatnonzero((bad >= 8) & (precision >= 0.8))
     return np.sort(good[np.argsort(-bad[good], kind="stable")][:MINED_VOTERS])
@@ -252,22 +272,23 @@ def train(docs: DataFrame, labels: DataFrame, training: str) -> tuple[Classifier
             for lo, hi, h, _, rows in word_blocks(batch.column(2)):
                 row, feature = features(h, rows)
                 starts = np.searchsorted(row, np.arange(hi - lo + 1))
-                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(feature.astype(np.int32)))
-                masks = votes(batch.column(2).slice(lo, hi - lo), np.zeros(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(feature.view(np.int64)))
+                masks = votes(batch.column(2).slice(lo, hi - lo), np.zeros(0, np.uint64))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(masks), lists], ["toxic", "mask", "features"])
 
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = joined.mapInArrow(found, "toxic int, mask long, features array<int>").limit(2 * bound).toArrow()
+    rows = joined.mapInArrow(found, "toxic int, mask long, features array<long>").limit(2 * bound).toArrow()
     toxic = rows.column(0).to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
-    lists = rows.column(2).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = rows.column(2).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     row = np.repeat(np.arange(len(toxic)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)) if len(toxic) else np.zeros(0, np.int64)
-    feature = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes, feature = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
     masks = rows.column(1).to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
     known = ((masks[:, None] >> np.arange(len(LEXICON))) & 1).any(axis=1) if len(masks) else np.zeros(0, bool)
     # Where the lexicon already speaks there is nothing to mine, and copies say the same thing again.
     fresh = (~known & _distinct(row, feature, len(toxic)))[row]
-    mined = _mine(row[fresh], feature[fresh], toxic)
+    mined_places = _mine(row[fresh], feature[fresh], toxic)
+    mined = hashes[mined_places]
     fixed = N_FIXED + len(mined)
     voters = fixed + LAST_VOTERS
 
@@ -288,37 +309,29 @@ def train(docs: DataFrame, labels: DataFrame, training: str) -> tuple[Classifier
     fired = np.zeros((len(toxic), voters))
     if len(toxic):
         fired[:, :N_FIXED] = (masks[:, None] >> np.arange(N_FIXED)) & 1
-        hit = np.isin(feature, mined)
+        hit = np.isin(feature, mined_places)
         if len(mined):
-            fired[row[hit], N_FIXED + np.searchsorted(mined, feature[hit])] = 1
+            fired[row[hit], N_FIXED + np.searchsorted(mined_places, feature[hit])] = 1
         fired[:, fixed + 2] = ~fired[:, :fixed].any(axis=1)
         fired[:, fixed], fired[:, fixed + 1] = toxic == 1, toxic == 0
-    classifier = train_classifier(row, feature, model.posterior(fired))
+    classifier = train_classifier(row, feature, hashes, model.posterior(fired))
     return classifier, model
 
 
 def lexicon_classifier() -> Classifier:
     """What scores texts when there is nothing to train on: any lexicon word tips the balance."""
-    weights = np.zeros(FEATURES)
-    weights[(_lexicon_hashes() >> np.uint64(46)).astype(np.int64)] = 5.0
-    return Classifier(weights, -3.0)
+    keys = np.sort(_lexicon_hashes())
+    return Classifier(keys, np.full(len(keys), 5.0), -3.0)
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``docs`` with a column ``toxicity``; the classifier's size is fixed by FEATURES, so it can be sent along."""
+    """``docs`` with a column ``toxicity``; the classifier's size is bounded by MODEL_FEATURES, so it can be sent along."""
     bound_batches(docs.sparkSession)
-    used = np.flatnonzero(classifier.weights)
-    sparse = (used.astype(np.int32), classifier.weights[used])
-    bias = classifier.bias
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(FEATURES)
-        weights[sparse[0]] = sparse[1]
-        model = Classifier(weights, bias)
         for batch in batches:
             out = np.zeros(len(batch))
             for lo, hi, h, _, rows in word_blocks(batch.column(batch.num_columns - 1)):
-                out[lo:hi] = model.score(h, rows)
+                out[lo:hi] = classifier.score(h, rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "toxicity"])
 
     from pyspark.sql import types as T
