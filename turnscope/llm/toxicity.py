@@ -31,7 +31,7 @@ from turnscope.llm.common import bound_batches, materialize, text_or_empty, utf8
 from turnscope.llm.words import mix, word_blocks
 
 #: Bound on the labelled rows that train the classifier, and on those scanned for more lexicon words.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 MODEL_FEATURES = 256
 MINED_VOTERS = 12
 THRESHOLD = 0.7
