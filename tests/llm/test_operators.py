@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from turnscope.llm import chat_format, components, decontaminate, exact_dedup, license_rules, licenses, minhash, packing, queries, sharding, token_count, toxicity, url_filter, words
 
 DOCS = "doc_id long, text string, kept string, key binary, size long"  # with clashing extra columns
+CLASHES = ["toxicity", "TOXICITY_", "__full", "__row", "__id", "__digest", "__lower", "digest", "arrival", "n", "a.b"]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 ODD_TEXTS = [None, "", " ", "!!!", "a", "É", "word " * 30_000, "x" * 50_000, "\x00\t\n", "日本語テキスト", "🙂 é"]
 
@@ -43,6 +44,24 @@ def prose(rng, n, pool=None):
     return " ".join(rng.choice(pool) for _ in range(n))
 
 
+def test_dropping_keeps_clashing_columns(spark):
+    """What only drops rows gives all others back as they came, whatever their columns are called."""
+    rows = [(1, "some plain words here"), (2, "you idiot"), (3, "SOME plain words here"), (4, None), (5, "a leaked test item of words")]
+    df = docs(spark, rows)
+    for name in CLASHES:
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(7, "leaked test item of words")], "item_id int, text string")
+    dropped = [toxicity.drop_toxic(df, labels, queries.TRAINING), exact_dedup.drop_exact_duplicates(df), minhash.drop_near_duplicates(df), decontaminate.drop_leaks(df, bench)]
+    before = {r["doc_id"]: tuple(r) for r in df.collect()}
+    for out, gone in zip(dropped, (2, 1, 3, 5), strict=True):
+        assert out.columns == df.columns
+        assert {r["doc_id"]: tuple(r) for r in out.collect()} == {i: r for i, r in before.items() if i != gone}
+    assert [r["item_id"] for r in decontaminate.find_leaks(df, bench).collect()] == [7]
+    scored = toxicity.score_corpus(df, labels, queries.TRAINING)
+    assert dict(scored.dtypes)["toxicity"] == "double" and scored.count() == len(rows)
+
+
 # --- words ------------------------------------------------------------------------------------------------
 
 
@@ -321,6 +340,14 @@ def test_digest_array_confirms_strings(tmp_path):
     assert found.tolist() == [True, False, True, True, True, False]
 
 
+def test_long_urls(spark):
+    """Their probes stay few; what fits the list still blocks."""
+    urls = ["http://bad.host/p/q/" + "/" * 300_000, "http://" + "a." * 200_000 + "bad.host/p/q/", "http://" + "a." * 200_000 + "fine.host/p/q/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, {}, ["bad.host/p/q/"]).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow"}
+
+
 def test_judge(spark):
     urls = [None, "", "no scheme", "http://Spam-Farm.EXAMPLE.org/x", "http://a.b.net/", "http://net", "http://x.example.net/en/1?q", "https://example.com/de/", "http://y.fr.org/fr/z#t", "http://bad.host/p/q/r?s", "http://bad.host/p", "x://h?://y", "http://ÄÖ.net/a\nb", "http://notexample.net/en/", "://", "http://evil-spam-farm.example.org/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, None, "h")], "page_id long, url string, host string")

@@ -67,6 +67,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that ``df`` does not have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while label.lower() in taken:
+        label += "_"
+    return label
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place: Spark hands no column with a dot in its name to Python."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def utf8_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array without copying; nulls become empty."""
     if array.null_count:

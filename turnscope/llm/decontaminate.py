@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import bound_batches, text_or_empty
+from turnscope.llm.common import bound_batches, plain_names, text_or_empty
 from turnscope.llm.words import ngrams, word_blocks
 
 THRESHOLD = 0.5
@@ -41,12 +41,12 @@ _BITS = 20
 class Seeds:
     """Items' words and their seeds: for each n, sorted hashes with the (item, place) pairs that have them."""
 
-    ids: list
+    ids: pa.Array
     words: list[np.ndarray]
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def build(ids: list, words: list[np.ndarray], rate: dict[int, float]) -> Seeds:
+    def build(ids: pa.Array, words: list[np.ndarray], rate: dict[int, float]) -> Seeds:
         places = sum(len(w) for w in words)
         limit = math.log(CHANCE / max(places, 1))
         found: dict[int, list[tuple[int, int, int]]] = {}
@@ -163,15 +163,15 @@ def seed_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Seeds]:
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     number = -(-chars // BLOCK_CHARS)
     for k in range(number):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).orderBy("item_id", "text").collect()
-        ids, words = [], []
-        for lo, hi, h, _, at in word_blocks(pa.array([r["text"] for r in rows], pa.string())):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).orderBy("item_id", "text").toArrow().combine_chunks()
+        chosen, words = [], []
+        for lo, hi, h, _, at in word_blocks(pa.array(rows.column("text").to_pylist(), pa.string())):
             for i in range(lo, hi):
                 if at[i - lo + 1] > at[i - lo]:
-                    ids.append(rows[i]["item_id"])
+                    chosen.append(i)
                     words.append(h[at[i - lo] : at[i - lo + 1]])
         if words:
-            yield Seeds.build(ids, words, _word_rates(docs, np.unique(np.concatenate(words))))
+            yield Seeds.build(rows.column("item_id").take(pa.array(chosen)).combine_chunks(), words, _word_rates(docs, np.unique(np.concatenate(words))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -187,9 +187,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for batch in batches:
                 found = list(leaks_in(sent.value, batch.column(1), threshold))
                 row, item, n, score, first, end = zip(*found, strict=True) if found else [()] * 6
-                ids = pa.array([sent.value.ids[i] for i in item])
+                ids = sent.value.ids.take(pa.array(item, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), ids.cast(pa.int64()) if kinds[1] == "bigint" else ids.cast(pa.string()), pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())],
+                    [batch.column(0).take(pa.array(row, pa.int64())), ids, pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())],
                     ["doc_id", "item_id", "n_seeds", "score", "first_word", "end_word"],
                 )
 
@@ -199,7 +199,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that leak no item, in one pass per block and without a join."""
-    spark, out = docs.sparkSession, docs
+    spark, out, names = docs.sparkSession, docs, docs.columns
     for seeds in seed_blocks(docs, benchmark):
         sent = spark.sparkContext.broadcast(seeds)
 
@@ -208,7 +208,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 clean = np.ones(len(batch), bool)
                 clean[[x[0] for x in leaks_in(sent.value, batch.column(batch.num_columns - 1), threshold)]] = False
                 kept = batch.filter(pa.array(clean))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names)
 
-        out = out.select("*", F.lower(text_or_empty()).alias("__lower")).mapInArrow(run, docs.schema)
+        out = plain_names(out.select("*", F.lower(text_or_empty()))).mapInArrow(run, docs.schema)
     return out

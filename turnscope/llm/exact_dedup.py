@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnscope.llm.common import ascii_lower, materialize, scratch_path, text_or_empty
+from turnscope.llm.common import ascii_lower, free_name, materialize, scratch_path, text_or_empty
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -128,9 +128,9 @@ def _regrouped(docs: DataFrame, decided: DataFrame, collided: DataFrame, digest:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged."""
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    full = sha256_digest(ascii_lower(text_or_empty()))
-    rows = docs.withColumn("__full", full)
-    on = rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__full"] == kept["__digest"])
+    full, row = free_name(docs, "__full"), free_name(docs, "__row")
+    rows = docs.withColumn(full, sha256_digest(ascii_lower(text_or_empty())))
+    on = rows["doc_id"].eqNullSafe(kept["__id"]) & (rows[full] == kept["__digest"])
     met = rows.join(kept.hint("shuffle_hash"), on, "left_semi")
-    once = Window.partitionBy("doc_id", "__full").orderBy(F.lit(1))
-    return met.withColumn("__row", F.row_number().over(once)).filter("__row = 1").select(docs.columns)
+    once = Window.partitionBy("doc_id", full).orderBy(F.lit(1))
+    return met.withColumn(row, F.row_number().over(once)).filter(F.col(row) == 1).drop(row, full)

@@ -12,7 +12,8 @@ aggregation with as many sums as there are voters. The classifier is trained on
 
 Defined results: a null or empty text has no features and gets the classifier's base score. Repeated rows are
 scored each. Rows with a null doc_id are scored but never trained on. An empty table gives no rows. Without
-any labelled training row the lexicon's voters alone make the labels.
+any labelled training row the lexicon's voters alone make the labels. An extra column named like the score gives
+way to it in scored rows, and stays as it is where rows are only dropped.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnscope.llm.common import bound_batches, materialize, text_or_empty, utf8_buffers
+from turnscope.llm.common import bound_batches, free_name, materialize, plain_names, text_or_empty, utf8_buffers
 from turnscope.llm.words import mix, word_blocks
 
 #: Bound on the labelled rows that train the classifier, and on those scanned for more lexicon words.
@@ -324,30 +326,32 @@ def lexicon_classifier() -> Classifier:
     return Classifier(keys, np.full(len(keys), 5.0), -3.0)
 
 
-def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``docs`` with a column ``toxicity``; the classifier's size is bounded by MODEL_FEATURES, so it can be sent along."""
+def score(docs: DataFrame, classifier: Classifier, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name``; the classifier's size is bounded by MODEL_FEATURES, so it can be sent along."""
     bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(len(batch))
             for lo, hi, h, _, rows in word_blocks(batch.column(batch.num_columns - 1)):
                 out[lo:hi] = classifier.score(h, rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "toxicity"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
-    return docs.select("*", F.lower(text_or_empty()).alias("__lower")).mapInArrow(run, schema)
+    docs = docs.drop(name)
+    names = [*docs.columns, name]
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return plain_names(docs.select("*", F.lower(text_or_empty()))).mapInArrow(run, schema)
 
 
-def score_corpus(docs: DataFrame, labels: DataFrame, training: str) -> DataFrame:
-    """``docs`` with ``toxicity`` from a classifier trained on what ``training`` allows."""
+def score_corpus(docs: DataFrame, labels: DataFrame, training: str, name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name`` from a classifier trained on what ``training`` allows."""
     classifier, _ = train(docs, labels, training)
     if not classifier.weights.any():
         classifier = lexicon_classifier()
-    return score(docs, classifier)
+    return score(docs, classifier, name)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training: str, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score stays below the threshold."""
-    return score_corpus(docs, labels, training).filter(F.col("toxicity") < threshold).select(docs.columns)
+    name = free_name(docs, "toxicity")
+    return score_corpus(docs, labels, training, name).filter(F.col(name) < threshold).drop(name)

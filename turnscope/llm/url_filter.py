@@ -7,7 +7,7 @@ looked up together by vectorised binary search, and a hit counts only when the s
 Explicit rules, longest first, override the list.
 
 Defined results: host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased;
-path is what follows up to ``?``, ``#`` or the end. A null URL, or one without ``://``, has neither: no rule
+path is what follows up to ``?``, ``#`` or the end. URLs of any length are judged whole. A null URL, or one without ``://``, has neither: no rule
 and no key fits, so it is allowed. Repeated pages are judged each; an empty table gives no rows.
 """
 
@@ -39,6 +39,7 @@ class DigestArray:
         n = len(self.keys)
         self.offsets = raw[: 8 * (n + 1)].view(np.int64)
         self.data = raw[8 * (n + 1) :]
+        self.longest = int(np.diff(self.offsets).max()) if n else 0
 
     @staticmethod
     def encode(entries: Sequence[str], digest=xxhash.xxh64_intdigest) -> tuple[bytes, bytes]:
@@ -76,12 +77,15 @@ def publish(spark: SparkSession, entries: Sequence[str]) -> tuple[str, str]:
     return names[0], names[1]
 
 
-def probes(host: str, path: str) -> list[bytes]:
-    """Every string that, listed, would block this URL."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
-    paths = [""] + [path[: i + 1] for i, c in enumerate(path) if c == "/"]
-    return [(h + p).encode() for h in hosts for p in paths] if host else []
+def probes(host: str, path: str, longest: int) -> list[bytes]:
+    """Every string of at most ``longest`` characters that, listed, would block this URL. A longer one cannot equal
+    an entry of the list, so a very long URL costs no more than the list's longest entry."""
+    if not host:
+        return []
+    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
+    hosts = [host[i:] for i in starts if len(host) - i <= longest]
+    paths = [""] + [path[: i + 1] for i, c in enumerate(path[:longest]) if c == "/"]
+    return [(h + p).encode() for h in hosts for p in paths if len(h) + len(p) <= longest]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -112,7 +116,7 @@ def judge(pages: DataFrame, rules: dict[str, str], entries: Sequence[str] = BLOC
         for batch in batches:
             wanted, owner = [], []
             for row, (host, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = probes(host, path)
+                own = probes(host, path, listed.longest)
                 wanted += own
                 owner += [row] * len(own)
             hit = np.zeros(len(batch), bool)
