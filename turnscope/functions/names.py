@@ -7,11 +7,17 @@ import re
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from turnscope.functions.paths import join, lexical
 from turnscope.operators.errors import BadRequest
 
 DAY_MS = 86_400_000
-_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+_UUID_SHAPE = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+_UUID = re.compile(_UUID_SHAPE + r"\Z")
 _AGE = re.compile(r"([0-9]+)([dwm])\Z")
 _AGE_DAYS = {"d": 1, "w": 7, "m": 30}
 _DATE = re.compile(r"([0-9]{4})(?:-([0-9]+))?(?:-([0-9]+))?\Z")
@@ -67,6 +73,11 @@ def display_id(session: str, entry_id: int) -> str:
     return f"{session[:8] if is_uuid(session) else session}:{entry_id}"
 
 
+def display_id_col(session: Column, entry_id: Column) -> Column:
+    short = F.when(session.rlike(rf"\A{_UUID_SHAPE}\z"), F.substring(session, 1, 8)).otherwise(session)
+    return F.concat_ws(":", short, entry_id.cast("string"))
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 1.0 if a == b else 0.0
@@ -91,6 +102,11 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
 
 
+@F.pandas_udf(T.DoubleType())
+def jaro_winkler_col(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def parse_date(text: str, now_ms: int, end: bool, zone: str = "UTC") -> int:
     """Unix milliseconds of ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD`` (the period's first or last millisecond in
     ``zone``), or of ``Nd``, ``Nw``, ``Nm`` before now."""

@@ -121,6 +121,16 @@ def how_long_ago(ms: int) -> str:
     raise AssertionError
 
 
+def fnv1a64_col(text: Column) -> Column:
+    """``fnv1a64`` of a text's UTF-8 bytes; null for null."""
+
+    @F.pandas_udf(T.LongType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: fnv1a64(t.encode()), na_action="ignore").astype("Int64")
+
+    return run(text)
+
+
 def fingerprint(data: bytes) -> str:
     """A stable name for a folder's contents."""
     return hashlib.sha256(data).hexdigest()[:16]

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnscope.functions.names import display_id_col, jaro_winkler_col
 from turnscope.functions.redaction import redact_col
-from turnscope.functions.text import clip_col, first_line_col
+from turnscope.functions.text import clip_col, first_line_col, fit_col, fnv1a64_col, head_and_tail_col, head_bytes_col
 from turnscope.operators import extract, fulltext, lookup, turns
 from turnscope.plans.engine import filtered
 
@@ -360,6 +361,64 @@ def clip_gist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", clip_col(first_line_col(F.coalesce("text", F.lit(""))), 300).alias("gist"))
 
 
+@_query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, left(coalesce(text, ''), 64) AS a, right(coalesce(text, ''), 32) AS b FROM documents),
+cut AS (SELECT doc_id, t, left(a, list_max(list_filter(range(0, 65), lambda i: strlen(left(a, i)) <= 64))) AS head,
+               right(b, list_max(list_filter(range(0, 33), lambda i: strlen(right(b, i)) <= 32))) AS tail FROM d)
+SELECT doc_id, head, CASE WHEN strlen(t) <= 96 THEN t ELSE head || ' … ' || tail END AS ends FROM cut""")
+def byte_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes and both ends of texts by bytes, on character boundaries."""
+    text = F.coalesce("text", F.lit(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", head_bytes_col(text, 64).alias("head"), head_and_tail_col(text, 64, 32).alias("ends"))
+
+
+@_query(r"""SELECT doc_id, CASE WHEN length(t) <= 40 THEN t ELSE left(t, 39) || '…' END AS title
+FROM (SELECT doc_id, regexp_replace(regexp_extract(coalesce(text, ''), '[^\s].*'), '\s+$', '') AS t FROM documents)""")
+def fit_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", fit_col(first_line_col(F.coalesce("text", F.lit(""))), 40).alias("title"))
+
+
+@_query("""SELECT c_custkey, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash
+FROM (SELECT c_custkey, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)),
+                                    lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM customer)""")
+def window_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash by which ingest recognises the bytes that it has seen."""
+    return _table(spark, sf_dir, "customer").select("c_custkey", fnv1a64_col(F.col("c_name")).alias("hash"))
+
+
+@_query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN left(md5(c_name), 8) ELSE c_name END || ':' || c_custkey AS id FROM customer""")
+def display_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second session is named by a UUID, which is shown by its first eight characters."""
+    digest = F.md5("c_name")
+    uuid = F.concat_ws("-", *(F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    session = F.when(F.col("c_custkey") % 2 == 0, uuid).otherwise(F.col("c_name"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", display_id_col(session, F.col("c_custkey")).alias("id"))
+
+
+@_query("SELECT n_nationkey, asked, round(jaro_winkler_similarity(n_name, asked), 9) AS similarity FROM nation, (SELECT unnest(['NATION_3', 'nation_3', 'NASHUN_1', 'TION_12', 'zzz']) AS asked)")
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.explode(F.array(*(F.lit(a) for a in ("NATION_3", "nation_3", "NASHUN_1", "TION_12", "zzz"))))
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", asked.alias("asked"))
+    return rows.select("n_nationkey", "asked", F.round(jaro_winkler_col("n_name", "asked"), 9).alias("similarity"))
+
+
+# (session, text) of user messages that open no turn, or open one under another prompt.
+_PROMPTS = [("x1", "[Background task notification] done"), ("x2", "[tool loop guard: stop"), ("x3", "Another language model started to solve this problem and"), ("x4", "The conversation history before this point was compacted."), ("x5", '<skill name="deploy"> body'), ("x6", "  "), ("x7", " ask [tool loop guard: ")]
+_PROMPTS_SQL = ", ".join(f"('{s}', '{t}')" for s, t in _PROMPTS)
+
+
+@_query(rf"""WITH messages(session, text) AS (
+  SELECT conv_id::VARCHAR || '/' || turn, regexp_replace(text, '^\s+|\s+$', '', 'g') FROM conversations WHERE role = 'user'
+  UNION ALL SELECT s, trim(t) FROM (VALUES {_PROMPTS_SQL}) v(s, t))
+SELECT session, md5(CASE WHEN starts_with(text, '<skill name="') THEN '[skill ' || regexp_extract(text, '^<skill name="([^"]*)', 1) || ']' ELSE text END) AS prompt_md5
+FROM messages WHERE text <> '' AND NOT regexp_matches(text, '^(\[Background task notification\]|Another language model started to solve this problem|\[\w+ loop guard:|The conversation history before this point was compacted)')""")
+def real_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User messages that open a turn, by the prompt they give it."""
+    stored = _table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("session"), "text")
+    rows = stored.unionByName(spark.createDataFrame(_PROMPTS, "session string, text string"))
+    block = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit("").alias("name"), F.lit("null").alias("args"), F.lit("").alias("content"), F.lit(False).alias("is_error"))
+    return rows.select("session", turns.prompt_of(F.array(block)).alias("prompt")).filter("prompt IS NOT NULL").select("session", F.md5("prompt").alias("prompt_md5"))
+
+
 _SECRETS = [(-1, "api_key=abc Authorization: Bearer qqq"), (-2, "use sk-live now"), (-3, "bearer of bad news"), (-4, 'token = "0123456789abcdef0123456789abcdef01234567"')]
 
 
