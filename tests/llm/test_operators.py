@@ -473,6 +473,50 @@ def test_every_rule_keyword_is_in_its_matches():
         assert r.keyword.split()[0][:3] in plain.lower().replace("\\", ""), r
 
 
+def surely_has(parsed, word):
+    """Whether every match of a parsed pattern contains the word; blanks of patterns are \\s+ and count as one."""
+    blank = [(re._constants.IN, [(re._constants.CATEGORY, re._constants.CATEGORY_SPACE)])]
+    runs = [""]
+    for op, arg in parsed:
+        if op is re._constants.LITERAL:
+            runs[-1] += chr(arg)
+        elif op is re._constants.MAX_REPEAT and arg[0] == 1 and list(arg[2]) == blank:
+            runs[-1] += " "
+        else:
+            runs.append("")
+            if op is re._constants.SUBPATTERN and surely_has(arg[3], word):
+                return True
+            if op is re._constants.BRANCH and all(surely_has(a, word) for a in arg[1]):
+                return True
+    return any(word in r for r in runs)
+
+
+def test_no_match_is_without_its_keyword():
+    for r in license_rules.build():
+        assert surely_has(re._parser.parse(r.pattern), r.keyword), r
+
+
+WRAPPED = [
+    "GNU General\nPublic License version 3",
+    "Permission is hereby\r\ngranted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "Redistribution  and\tuse in source and binary forms, with or without modification, are permitted",
+    "Creative\n   Commons Attribution-ShareAlike 4.0, some rights\n\nreserved",
+    "released under the GNU Library\x0bGeneral Public License, see the GNU Free\fDocumentation License 1.3",
+    "an Open RAIL license, an OpenRAIL-M license, CreativeML Open\nRAIL",
+]
+
+
+def test_wrapped_licenses_are_found_as_without_keywords(spark):
+    """The brute scan runs all rules here: every text has the empty keyword."""
+    rules = license_rules.build()
+    rows = list(enumerate(WRAPPED + [re.sub(" ", w, t) for t in LICENSED for w in ("\n", "  ", " \t")]))
+    for r in licenses.scan(docs(spark, rows)).collect():
+        text = rows[r["doc_id"]][1]
+        want = brute_scan(text, [rule._replace(keyword="") for rule in rules])
+        assert r["labels"] == want[5] and sorted((d["start"], d["end"], d["label"]) for d in r["detections"]) == want[6], text
+        assert r["labels"] or "bsdx" in text, text
+
+
 # --- op10 -------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """Signature rules of the license scan, in order.
 
 Patterns run on text with A-Z lower-cased; a blank stands for any run of white space. Every rule has a literal
-keyword that each of its matches contains, so a text without the keyword skips the rule's regex.
+keyword that each of its matches contains once runs of white space are one blank, so a text without the keyword skips
+the rule's regex.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ commons-clause | commons clause | commons clause(?: licen[sc]e condition)?
 parity | parity | parity public licen[sc]e
 hippocratic | hippocratic | hippocratic licen[sc]e
 json | json | \bjson licen[sc]e
-openrail | openrail | \b(?:creativeml )?open ?rail(?:-[a-z]+)?(?: licen[sc]e)?
+openrail | rail | \b(?:creativeml )?open ?rail(?:-[a-z]+)?(?: licen[sc]e)?
 openrail | responsible ai | responsible ai licen[sc]e
 llama-community | community licen | llama [0-9.]* ?community licen[sc]e
 odbl-1.0 | open database | open (?:data commons )?open database licen[sc]e

@@ -1,6 +1,7 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
-Texts that contain none of the rules' keywords are done after a few substring tests. In the others each
+Texts that contain none of the rules' keywords are done after a few substring tests. Keywords are looked for where
+runs of white space count as one blank, so a keyword that is wrapped over two lines is found. In the others each
 keyword found opens its rules' regexes, every match becomes an interval, and the intervals of a row are
 folded once, sorted by start: an interval that lies inside one of the same or a higher priority is
 suppressed. Base phrases are looked for among the words of every text and their labels always stay.
@@ -23,6 +24,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 PRIORITIES = (4, 3, 2)
 BASE_SCORE = 0.5
+#: White space that a keyword's single blank does not equal, as the rules' \\s has it.
+_ODD_BLANKS = ("  ", "\t", "\n", "\x0b", "\f", "\r")
 _HIT = "struct<start:int,end:int,priority:int,rule:int,label:string,confidence:double>"
 
 
@@ -47,6 +50,14 @@ def _gated_rules(rules: list[Rule]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by.items()))
 
 
+def _one_blank(text: Column) -> Column:
+    """The text with every run of white space as one blank."""
+    odd = F.lit(False)
+    for blank in _ODD_BLANKS:
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.when(odd, F.regexp_replace(text, r"\s+", " ")).otherwise(text)
+
+
 def _intervals(text: Column, rule: Column) -> Column:
     """Every match of the rule: the pieces between matches and the matches alternate, so lengths give places."""
     between = F.call_function("split", text, rule["pattern"], F.lit(-1))
@@ -86,9 +97,10 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     detections (the surviving intervals, in characters of the text)."""
     rules = build() if rules is None else rules
     text, lowered = F.col("text"), docs.select("doc_id", ascii_lower(text_or_empty()).alias("text"))
+    spaced, lowered = F.col("spaced"), lowered.withColumn("spaced", _one_blank(text))
     any_keyword = F.lit(False)
     for keyword in _covering(sorted({r.keyword for r in rules})):
-        any_keyword = any_keyword | F.contains(text, F.lit(keyword))
+        any_keyword = any_keyword | F.contains(spaced, F.lit(keyword))
     any_base = F.lit(False)
     for phrase in BASE:
         whole = F.lit(True)
@@ -96,7 +108,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             whole = whole & F.contains(text, F.lit(word))
         any_base = any_base | whole
     gated = lowered.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    groups = F.filter(_gated_rules(rules), lambda g: F.contains(text, g["keyword"]))
+    groups = F.filter(_gated_rules(rules), lambda g: F.contains(spaced, g["keyword"]))
     opened = F.flatten(F.transform(groups, lambda g: g["rules"]))
     none = F.array().cast(f"array<{_HIT}>")
     hits = F.when(any_keyword, _survivors(F.flatten(F.transform(opened, lambda r: _intervals(text, r))))).otherwise(none)
