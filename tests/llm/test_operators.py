@@ -572,3 +572,27 @@ def test_shards(spark, odd, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
     null = sharding.shard_by_bytes(docs(spark, [(1, None)])).first()
     assert (null["size"], null["text_crc32"], null["slot"]) == (1, 0, 0)
+
+
+def loads(groups, cuts):
+    return [sum(s for k, s in groups if low <= k <= high) for low, high, _ in cuts]
+
+
+def test_many_heavy_groups_stay_within_the_shards(spark, monkeypatch):
+    rng = random.Random(11)
+    tables = [[10_000 if i % 2 else 10 for i in range(21)], [1, 5100, 9900, 5100] + [100] * 99]
+    tables += [[int(rng.paretovariate(0.7)) + 1 for _ in range(rng.randrange(17, 61))] for _ in range(400)]
+    for sizes in tables:
+        segments = [sharding.Segment(i, i, s, True) for i, s in enumerate(sizes)]
+        for shards in (4, 16):
+            runs, giants, capacity = sharding._best(sharding._levels(segments, shards))
+            parts = [(r, own) for r, own, _ in sharding._own_capacities(runs, capacity)]
+            assert sum(len(sharding.greedy([s.size for s in r], own)) + 1 for r, own in parts) + len(giants) <= shards
+            assert max([own for _, own in parts] + [g.size for g in giants]) <= sharding.smallest_capacity([sizes], shards)
+    monkeypatch.setattr(sharding, "FIRST_BITS", 3)
+    for sizes in tables[:4]:
+        groups = list(zip(sorted(rng.sample(range(1 << 60), len(sizes))), sizes, strict=True))
+        cuts = sharding.plan_cuts(spark.createDataFrame(groups, "key long, size long"), 16)
+        assert [c[2] for c in cuts] == list(range(len(cuts))) and len(cuts) <= 16
+        got = loads(groups, cuts)
+        assert sum(got) == sum(sizes) and max(got) <= sharding.smallest_capacity([sizes], 16)

@@ -7,8 +7,9 @@ search, and the order is cut where that walk cuts.
 The driver never holds the groups. It holds a bounded number of segments of the digest order with their
 sizes and splits further, in Spark, only segments in which a cut can fall, until those are single groups;
 the result is that of the walk over all groups. A group larger than an even share has a shard of its own and
-the others share the rest, so one hot group does not starve the remaining shards. Each stretch between such
-groups is cut at the least capacity for its own number of shards.
+the others share the rest, so one hot group does not starve the remaining shards. Such groups are taken out, largest
+first, as long as the stretches between them fit the remaining shards at no larger capacity than before, so no shard is
+ever larger than in the walk over all groups. Each stretch is cut at the least capacity for its own number of shards.
 
 Defined results: a null text counts as empty; a row's size is its UTF-8 bytes plus 1. With fewer groups than
 shards some shards are empty. An empty table gives no rows. Rows of a shard are numbered from 0 without
@@ -66,22 +67,43 @@ def smallest_capacity(runs: list[list[int]], shards: int) -> int:
     return low
 
 
-def _runs(segments: list[Segment], shards: int) -> tuple[list[list[Segment]], list[Segment]]:
-    """(the stretches between giants, the giants): groups that by themselves exceed an even share of the rest."""
+def _levels(segments: list[Segment], shards: int) -> list[tuple[list[list[Segment]], list[Segment], int]]:
+    """[(the stretches between giants, the giants, the stretches' capacity)], with one giant more each time.
+
+    Giants by themselves exceed an even share of the rest. The first level has none: it is the walk over all. Each
+    later level fits the shards at no larger capacity than the one before, but the last may be one that does not
+    (its capacity is larger) and is there as what decides; ``_best`` is the last that does.
+    """
+    size = lambda runs: [[s.size for s in r] for r in runs]
     giants: list[Segment] = []
     rest, left = sum(s.size for s in segments), shards
+    levels = [([segments], giants, smallest_capacity(size([segments]), shards))]
     for s in sorted((s for s in segments if s.atomic), key=lambda s: -s.size):
         if left <= 1 or s.size * left <= rest:
             break
-        giants.append(s)
+        giants = [*giants, s]
         rest, left = rest - s.size, left - 1
+        runs = _between(segments, set(giants))
+        if len(runs) > left:
+            break
+        levels.append((runs, giants, smallest_capacity(size(runs), left)))
+        if levels[-1][2] > levels[-2][2]:
+            break
+    return levels
+
+
+def _best(levels: list[tuple[list[list[Segment]], list[Segment], int]]) -> tuple[list[list[Segment]], list[Segment], int]:
+    return levels[-2] if len(levels) > 1 and levels[-1][2] > levels[-2][2] else levels[-1]
+
+
+def _between(segments: list[Segment], giants: set[Segment]) -> list[list[Segment]]:
     runs, now = [], []
     for s in segments:
         if s in giants:
             runs, now = [*runs, now], []
         else:
             now.append(s)
-    return [r for r in [*runs, now] if r], giants
+    return [r for r in [*runs, now] if r]
 
 
 def _loose(runs: list[list[Segment]], capacity: int, most: int) -> set[Segment]:
@@ -111,10 +133,13 @@ def _loose(runs: list[list[Segment]], capacity: int, most: int) -> set[Segment]:
             else:
                 cut = best
                 early.append(cut)
-        k = 1
-        while k * capacity < at:
-            late.append(k * capacity)
-            k += 1
+        reach, spot = capacity, 0
+        while reach < at:  # a cut is never inside a group, and never later than a walk that may cut anywhere else
+            while bounds[spot][1] <= reach:
+                spot += 1
+            cut = bounds[spot][0] if bounds[spot][2].atomic else reach
+            late.append(cut)
+            reach = cut + capacity
         late += [at] * (len(early) - len(late))
         for lo, hi in zip(early, late, strict=False):
             found.update(s for a, b, s in bounds if not s.atomic and b > lo - 1 and a < hi + 1)
@@ -128,13 +153,15 @@ def plan_cuts(groups: DataFrame, shards: int) -> list[tuple[int, int, int]]:
     pull = lambda df: [Segment(r["low"], r["high"], r["size"], r["n"] == 1) for r in sorted(df.collect(), key=lambda r: r["low"])]
     segments = pull(summed(groups, step))
     while segments:
-        runs, giants = _runs(segments, shards)
-        capacity = smallest_capacity([[s.size for s in r] for r in runs], max(shards - len(giants), len(runs)))
-        # A segment of several groups may also hide a giant.
-        open_ = _loose(runs, capacity, max(shards - len(giants), 1))
+        levels = _levels(segments, shards)
+        open_: set[Segment] = set()
+        for runs, giants, capacity in levels:
+            open_ |= _loose(runs, capacity, max(shards - len(giants), 1))
+        runs, _, capacity = _best(levels)
         for run, own, count in _own_capacities(runs, capacity):
             open_ |= _loose([run], own, count)
-        open_ |= {s for r in runs for s in r if not s.atomic and s.size * shards > sum(x.size for x in segments)}
+        # A segment of several groups may also hide a giant.
+        open_ |= {s for s in segments if not s.atomic and s.size * shards > sum(x.size for x in segments)}
         if not open_ or step == 0:
             break
         step = max(0, step - NEXT_BITS)
@@ -144,8 +171,7 @@ def plan_cuts(groups: DataFrame, shards: int) -> list[tuple[int, int, int]]:
         segments = sorted([s for s in segments if s not in open_] + finer, key=lambda s: s.low)
     cuts: list[tuple[int, int, int]] = []
     shard = 0
-    runs, giants = _runs(segments, shards)
-    capacity = smallest_capacity([[s.size for s in r] for r in runs], max(shards - len(giants), len(runs)))
+    runs, giants, capacity = _best(_levels(segments, shards)) if segments else ([], [], 1)
     parts = [(run, own) for run, own, _ in _own_capacities(runs, capacity)] + [([g], g.size) for g in giants]
     for part, own in sorted(parts, key=lambda p: p[0][0].low):
         starts = [0, *greedy([s.size for s in part], own), len(part)]
