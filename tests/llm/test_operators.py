@@ -123,6 +123,22 @@ def test_leaks(spark, empty, odd):
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count()
 
 
+def test_parts_of_long_items_are_leaks(spark):
+    rng = random.Random(21)
+    items = [prose(rng, n) for n in (59, 200, 200, 900)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    part = lambda i, lo, n: " ".join(items[i].split()[lo : lo + n])
+    wanted = {0: (0, 20, 28), 1: (1, 50, 98), 2: (1, 0, 13), 3: (2, 187, 13), 4: (3, 400, 40)}
+    rows = [(d, f"{prose(rng, 60)} {part(*w)} {prose(rng, 60)}") for d, w in wanted.items()]
+    rows += [(10, f"{prose(rng, 60)} {part(1, 90, 10)} {prose(rng, 60)}"), (11, prose(rng, 400))]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == {(d, w[0]) for d, w in wanted.items()}
+    for (d, _), r in got.items():
+        own = rows[d][1].split()[r["first_word"] : r["end_word"]]
+        assert r["score"] < 0.5 and part(*wanted[d]) in " ".join(own) and len(own) <= wanted[d][2] + 2
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs(spark, rows), bench).collect()) == [10, 11]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     items = [prose(rng, 20) for _ in range(9)]

@@ -3,14 +3,16 @@
 Word rates are counted over all documents. From every place of a test item the shortest n-gram that the rates
 say is rare becomes a seed (rates, not counts of the n-gram itself, so an item that leaked into a third of the
 corpus keeps its seeds). Seeds are joined to the documents' n-grams by hash, and around each hit the item is
-aligned with the document's words; the alignment's score, as a share of a perfect one, decides.
+aligned with the document's words; the alignment's score decides, as a share of a perfect one or, for parts of long
+items, by a run of words that item and document have alike.
 
 Items are taken in blocks of bounded size, so what is sent to executors is bounded, and each block meets all
 documents. Per document block the work is a few numpy passes; alignments are as many as there are hits.
 
 Defined results: items and documents that are null, empty or without words match nothing. An item of fewer
 words than a seed needs is one seed itself. Repeated items count once; repeated documents are reported each. A
-document that holds an item several times has one row for it, with its best alignment. Empty tables give
+document that holds an item several times has one row for it, with its best alignment. A document that quotes less
+than the threshold has the share of its best alignment as its score and the longest run of words as its place. Empty tables give
 no leaks. Extra columns are not read, and kept by ``drop_leaks``.
 """
 
@@ -29,6 +31,8 @@ from turnscope.llm.common import bound_batches, plain_names, text_or_empty
 from turnscope.llm.words import ngrams, word_blocks
 
 THRESHOLD = 0.5
+#: So many words in a row that a document quotes of an item are a leak, however long the item is.
+RUN = 13
 #: Chance hits of all seeds together that a word of a document may have.
 CHANCE = 5e-5
 LENGTHS = (2, 3, 4, 6, 8, 12)
@@ -105,6 +109,19 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def longest_run(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
+    """(the most words in a row that both have, end of them in ``words``)."""
+    before = np.zeros(len(words) + 1, np.int64)
+    best, end = 0, 0
+    for w in item:
+        now = np.where(words == w, before[:-1] + 1, 0)
+        top = int(now.argmax()) if len(now) else 0
+        if len(now) and now[top] > best:
+            best, end = int(now[top]), top + 1
+        before[1:] = now
+    return best, end
+
+
 def leaks_in(seeds: Seeds, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, int, float, int, int]]:
     """(row, item, seeds found, score, first word, end) of every leak among the texts."""
     for lo, _, h, _, rows in word_blocks(texts):
@@ -118,7 +135,7 @@ def leaks_in(seeds: Seeds, texts: pa.Array, threshold: float) -> Iterator[tuple[
             wanted = seeds.words[item[a]]
             own = h[rows[row[a]] : rows[row[a] + 1]]
             margin = len(wanted) // 2 + 4
-            best = (0, 0, 0)
+            best, run = (0, 0, 0), (0, 0)
             i = a
             while i < b:  # hits whose windows overlap share one
                 first, last = shift[i], shift[i]
@@ -130,11 +147,17 @@ def leaks_in(seeds: Seeds, texts: pa.Array, threshold: float) -> Iterator[tuple[
                 score, end = align(wanted, window)
                 if score > best[0]:
                     best = (score, start, end)
+                if RUN * MATCH <= score < threshold * MATCH * len(wanted):  # a run scores as much
+                    length, end = longest_run(wanted, window)
+                    if length > run[0]:
+                        run = (length, start + end)
             share = best[0] / (MATCH * len(wanted))
             if share >= threshold:
                 _, start, end = best
                 _, back = align(wanted[::-1], own[start : start + end][::-1])
                 yield lo + int(row[a]), int(item[a]), int(b - a), share, start + end - back, start + end
+            elif run[0] >= RUN:
+                yield lo + int(row[a]), int(item[a]), int(b - a), share, run[1] - run[0], run[1]
 
 
 def _word_rates(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
