@@ -78,6 +78,25 @@ def turn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", "entry_id", "date", F.substring("prompt", 1, 200).alias("prompt_start"), F.substring("reply", 1, 500).alias("reply_start"), "has_reply", "gist")
 
 
+def _head_sql(text: str, most: int) -> str:
+    return f"left({text}, list_max(list_filter(range(0, {most + 1}), lambda i: strlen(left({text}, i)) <= {most})))"
+
+
+def _tail_sql(text: str, most: int) -> str:
+    return f"right({text}, list_max(list_filter(range(0, {most + 1}), lambda i: strlen(right({text}, i)) <= {most})))"
+
+
+@_query(f"""WITH {_TURNS_SQL},
+ends AS (SELECT *, left(prompt, {turns.PROMPT_BYTES}) AS p, left(reply, {extract.REPLY_HEAD}) AS a, right(reply, {extract.REPLY_TAIL}) AS b FROM turns)
+SELECT session, entry_id, CASE WHEN strlen(prompt) <= {turns.PROMPT_BYTES} THEN prompt ELSE {_head_sql("p", turns.PROMPT_BYTES)} END AS prompt,
+       CASE WHEN strlen(reply) <= {extract.REPLY_HEAD + extract.REPLY_TAIL} THEN reply
+            ELSE {_head_sql("a", extract.REPLY_HEAD)} || ' … ' || {_tail_sql("b", extract.REPLY_TAIL)} END AS reply
+FROM ends""")
+def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole prompts and replies of turns, as the index has them: cut at its byte caps only."""
+    return _turns(spark, sf_dir).select("session", "entry_id", "prompt", "reply")
+
+
 # Two sessions: one rewound at entry 2, one with a cycle; (session, offset, entry_id, parent_id).
 _WALKS = [("a", 0, 1, None), ("a", 10, 2, 1), ("a", 20, 3, 2), ("a", 30, 4, 2), ("a", 40, 5, 4), ("b", 0, 7, 9), ("b", 10, 8, 7), ("b", 20, 9, 8), ("c", 0, 1, None), ("c", 10, 2, 99)]
 _WALKS_SQL = ", ".join(f"('{s}', {o}, {e}, {'NULL' if p is None else p})" for s, o, e, p in _WALKS)
