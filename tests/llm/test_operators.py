@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnscope.llm import chat_format, components, decontaminate, exact_dedup, license_rules, licenses, minhash, packing, queries, sharding, token_count, toxicity, url_filter, words
+from turnscope.llm.common import utf8_buffers
 
 DOCS = "doc_id long, text string, kept string, key binary, size long"  # with clashing extra columns
 CLASHES = ["toxicity", "TOXICITY_", "__full", "__row", "__id", "__digest", "__lower", "digest", "arrival", "n", "a.b"]
@@ -424,18 +425,77 @@ def test_toxicity_odd_cases(spark, odd, empty):
 
 
 def test_label_model_finds_accuracies_and_correlations(spark):
+    """Independent voters, an echo of one of them, and noisy labels: rates, the link and posteriors come out."""
     rng = np.random.default_rng(8)
     y = rng.random(20_000) < 0.1
-    fire = np.array([0.9, 0.8, 0.7, 0.0, 0.3, 0.02, 0.1])  # so few texts of class 1 are left without a vote
+    fire = np.array([0.9, 0.8, 0.7, 0.0])
     votes = [(rng.random(len(y)) < np.where(y, a, 0.001)) for a in fire]
     votes[3] = votes[2].copy()  # an echo
-    votes[5] = rng.random(len(y)) < np.where(y, 0.05, 0.5)
-    votes[6] = ~np.any(votes[:4], axis=0)
-    counts = Counter(tuple(np.flatnonzero(r).tolist()) for r in np.stack(votes, axis=1))
+    labelled = rng.random(len(y)) < 0.5
+    said = y ^ (rng.random(len(y)) < 0.01)
+    votes += [labelled & said, labelled & ~said]
+    fired = np.stack(votes, axis=1)
+    counts = Counter(tuple(np.flatnonzero(r).tolist()) for r in fired)
     df = spark.createDataFrame([(list(k), n) for k, n in counts.items()], "fired array<int>, n long")
-    model = toxicity.fit_label_model(df, 4, 7)
-    assert abs(model.prior - 0.1) < 0.02 and np.abs(model.fire[1][:3] - fire[:3]).max() < 0.06
-    assert model.correlation[2, 3] > 0.9 and model.weight[2] < 0.6 < model.weight[0]
+    model = toxicity.fit_label_model(df, 4, 6)
+    rate = fired[y].mean(axis=0)
+    # A row without any vote counts as undecided, so the prior is that of the rows with one.
+    assert np.abs(model.fire[1] / model.fire[1][0] - rate / rate[0]).max() < 0.1
+    assert model.correlation[2, 3] > 0.9 and (model.parent[3] == 2 or model.parent[2] == 3)
+    one, echoed = (np.isin(np.arange(6), v).astype(float) for v in ([2], [2, 3]))
+    a, b = model.posterior(np.stack([one, echoed]))
+    assert abs(np.log(a / (1 - a)) - np.log(b / (1 - b))) < 0.2  # the echo says nothing new
+    posterior = model.posterior(fired.astype(float))
+    some = fired.any(axis=1)
+    assert ((posterior > 0.5) == y)[some].mean() > 0.98
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab9 é.中\n"), max_size=60), min_size=1, max_size=5), st.integers(2, 7), st.integers(4, 40))
+def test_stems_and_grams_are_those_of_the_words(texts, n, block):
+    """Equal stems and n-grams have equal hashes, different ones different hashes, whatever the block's size."""
+    found = lambda parts: Counter((int(r), int(x)) for row, h in parts for r, x in zip(row, h, strict=True))
+    array = pa.array(texts)
+    data, offsets = utf8_buffers(array)
+    _, begin, rows = words.hash_words(data, offsets)
+    own = [re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode()) for t in texts]
+    stems = Counter((i, w[:k]) for i, ws in enumerate(own) for w in ws for k in range(n, n + 3) if len(w) >= k)
+    inner = Counter((i, w[j : j + n]) for i, ws in enumerate(own) for w in ws for j in range(1, len(w) - n + 1))
+    whole = words.BLOCK_BYTES
+    try:
+        for words.BLOCK_BYTES in (whole, block):
+            for got, want in ((found(words.prefixes(data, offsets, begin, rows, n, n + 2)), stems), (found(words.grams(data, offsets, n)), inner)):
+                assert sorted(got.values()) == sorted(want.values()) and len({h for _, h in got}) == len({w for _, w in want})
+                assert Counter(i for i, _ in got.elements()) == Counter(i for i, _ in want.elements())
+    finally:
+        words.BLOCK_BYTES = whole
+
+
+def test_abuse_without_a_lexicon_is_learnt(spark):
+    """Stems that no list has, with changing endings, in one of two languages: learnt from training labels, caught on held-out rows."""
+    rng = random.Random(9)
+    pools = [[f"word{i}" for i in range(300)], [f"{a}{b}{c}" for a in ("lor", "ipé", "dol") for b in "aeiouö" for c in ("rem", "sum", "çit", "tam", "ü")]]
+    endings = ["a", "é", "ung", "os", "ette", "ö", "isch", "ment"]
+    rows, labels = [], []
+    for i in range(2400):
+        toxic = i % 8 == 0
+        language = i // 8 % 2
+        own = [rng.choice(pools[language]) for _ in range(rng.randrange(20, 120))]
+        for _ in range(rng.randrange(1, 5) if toxic else 0):
+            own.insert(rng.randrange(len(own)), rng.choice(["idiot", "scum"]) if language == 0 else rng.choice(["xyvé", "qurt"]) + rng.choice(endings))
+        rows.append((i, " ".join(own), language))
+        labels.append((i, int(toxic)))
+    # Copies of one toxic text do not make its other words abusive.
+    rows += [(3000 + k, rows[8][1] + f" w{k}", 1) for k in range(60)]
+    labels += [(3000 + k, 1) for k in range(60)]
+    corpus, gold = docs(spark, [r[:2] for r in rows]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = {r["doc_id"]: r["toxicity"] for r in toxicity.score_corpus(corpus, gold, queries.TRAINING).collect()}
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    for language in (0, 1):
+        ids = [i for i, _, x in rows if x == language and i < 3000 and held_out(i)]
+        caught = [i for i in ids if scores[i] >= toxicity.THRESHOLD]
+        assert sum(i % 8 == 0 for i in caught) >= 0.9 * sum(i % 8 == 0 for i in ids)
+        assert sum(i % 8 != 0 for i in caught) <= 0.01 * len(ids)
 
 
 # --- op8 --------------------------------------------------------------------------------------------------

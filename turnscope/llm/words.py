@@ -101,6 +101,48 @@ def word_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield lo, hi, *hash_words(data, offsets[lo : hi + 1])
 
 
+def prefixes(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, rows: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of every word's first ``least`` to ``most`` bytes, as far as it is that long. ``begin`` and ``rows``
+    are those of ``hash_words`` for the same offsets."""
+    for at in range(0, len(begin), BLOCK_BYTES >> 2):
+        start = begin[at : at + (BLOCK_BYTES >> 2)] + int(offsets[0])
+        row = np.searchsorted(rows, np.arange(at, at + len(start)), side="right") - 1
+        end = offsets[1:][row]
+        total = np.zeros(len(start), np.uint64)
+        for k in range(most):
+            inside = start + k < end
+            start, row, end, total = start[inside], row[inside], end[inside], total[inside]
+            letter = _LETTER[data[start + k]]
+            inside = letter != 0
+            start, row, end = start[inside], row[inside], end[inside]
+            total = total[inside] + _TABLE[(k & (_SPAN - 1)) * 256 + letter[inside].astype(np.int64)]
+            if k + 1 >= least:
+                yield row, mix(total ^ _ROLL[k])
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of every run of n bytes inside a word that is not the word's start."""
+    base, end = int(offsets[0]), int(offsets[-1])
+    for at in range(base, end, BLOCK_BYTES):
+        lo = max(at - 1, base)
+        span = _LETTER[data[lo : min(at + BLOCK_BYTES + n - 1, end)]]
+        count = len(span) - n + 1
+        if count <= 0:
+            continue
+        cut = span == 0
+        starts = offsets[(offsets > lo) & (offsets < lo + len(span))] - lo
+        cut[starts] = True  # a word ends before each row
+        cut[1:] |= span[:-1] == 0
+        cut[0] |= lo == base
+        crossed = np.cumsum(cut, dtype=np.int32)
+        inner = np.flatnonzero((crossed[n - 1 :] == crossed[:count]) & ~cut[:count])
+        inner = inner[inner >= at - lo]
+        total = np.zeros(len(inner), np.uint64)
+        for j in range(n):
+            total += _TABLE[j * 256 + span[inner + j].astype(np.int64)]
+        yield np.searchsorted(offsets, inner + lo, side="right") - 1, mix(total ^ _ROLL[-1])
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words, at the place of its first word; len(words) - n + 1 of them."""
     count = len(words) - n + 1
