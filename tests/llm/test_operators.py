@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -216,12 +217,15 @@ def test_chat_digests(spark, monkeypatch):
 # --- op4 --------------------------------------------------------------------------------------------------
 
 
-def brute_components(texts, threshold):
-    sets = []
+def weighted(texts):
+    """The weighted set of every text."""
     ln = minhash._ln_idf(texts)
     arrow = pa.array([r["text"] for r in texts.collect()], pa.string())
-    for lo, hi, u, v, s in minhash.weighted_sets(arrow, ln):
-        sets += [(u[s[i] : s[i + 1]], v[s[i] : s[i + 1]]) for i in range(hi - lo)]
+    return [(u[s[i] : s[i + 1]], v[s[i] : s[i + 1]]) for lo, hi, u, v, s in minhash.weighted_sets(arrow, ln) for i in range(hi - lo)]
+
+
+def brute_components(texts, threshold):
+    sets = weighted(texts)
     root = list(range(len(sets)))
     find = lambda i: i if root[i] == i else find(root[i])
     links = 0
@@ -240,7 +244,10 @@ def edit(rng, text, n):
     return " ".join(own)
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("chunk", [64, 8])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, chunk):
+    """Also where the buckets are dealt into many chunks."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     rng = random.Random(3)
     texts = [prose(rng, 120) for _ in range(30)]
     base, passage = prose(rng, 150), prose(rng, 12)
@@ -258,6 +265,47 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(want[i] == want[j] for i, j in got.items()), "no class joins what has no link"
 
 
+def test_recall_on_table_rows(spark):
+    """Every pair of the driver's table at 0.8 or more by plain counting is in one class, and none that has no path of such pairs."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver tables are not here")
+    table = spark.read.parquet(path).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).orderBy("doc_id")
+    ids = [r["doc_id"] for r in table.collect()]
+    sets = weighted(table)
+    holders = {}
+    for i, (u, _) in enumerate(sets):
+        for x in u.tolist():
+            holders.setdefault(x, []).append(i)
+    shared = Counter((i, j) for h in holders.values() for k, j in enumerate(h) for i in h[:k])
+    # Levels are at least 0, so a pair that reaches 0.8 shares a good half of its shingles.
+    pairs = [(i, j) for (i, j), n in shared.items() if n >= 0.5 * max(len(sets[i][0]), len(sets[j][0])) and minhash.similarity(sets[i], sets[j]) >= 0.8]
+    root = list(range(len(ids)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(table).collect()}
+    assert len(pairs) > 50 and sum(got[ids[i]] == got[ids[j]] for i, j in pairs) >= 0.98 * len(pairs)
+    place = {d: i for i, d in enumerate(ids)}
+    assert all(find(place[d]) == find(place[c]) for d, c in got.items())
+
+
+def test_a_group_of_copies_hands_on_as_many_links_as_members(spark, monkeypatch):
+    """Twice the copies, twice the links, though far more pairs are similar."""
+    rows = []
+    whole = minhash.connected_components
+    monkeypatch.setattr(minhash, "connected_components", lambda links: rows.append(links.count()) or whole(links))
+    made = []
+    for n in (150, 300):
+        rng = random.Random(12)
+        base = prose(rng, 150)
+        texts = [edit(rng, base, rng.randrange(1, 4)) for _ in range(n)]
+        rows.clear()
+        minhash.near_duplicates(docs(spark, list(enumerate(texts)))).count()
+        made.append(max(rows))
+    assert 100 < made[0] and made[1] <= 2.6 * made[0]
+
+
 def test_near_duplicates_odd_cases(spark, odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

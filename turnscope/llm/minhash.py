@@ -1,18 +1,24 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the weighted set of its five-word shingles. A shingle's weight is its count in the document times
-a smoothed inverse document frequency between 1 and 1 + IDF_SPAN; frequencies are counted over all documents in
-IDF_BUCKETS hashed features, so their table has a fixed size. Weights are rounded to geometric levels, which
+A document is the weighted set of its five-word shingles. A shingle's weight is its count in the document times an
+inverse document frequency, 1 + IDF_SPAN * ln(1 / f) / ln(1 / RARE), where f is the share of all documents that have it, at
+least RARE; so weights mean the same at every corpus size. Shares are counted over all documents, in two tables of
+IDF_BUCKETS hashed features of which the lesser count holds. Weights are rounded to geometric levels, which
 lets the sampler's logarithms be tabulated. Samples are banded; documents that share a band are verified by
 the weighted Jaccard similarity of their whole texts, and links make components.
 
-Copies cost nothing twice: documents with equal weighted sets are one class before banding. Within a band's
-bucket all members are compared with one pivot, the one whose shingles are the most common ones (of edited
-copies, the one closest to the others); only where that leaves several components are members outside the
-largest one made pivots in turn, until every pair that could join two components has been compared. A bucket
-of near-copies thus costs about as many comparisons as it has members, no bucket is capped, and no link
-between components is missed. What a text shares with no other text of such buckets bounds its similarity to
-each of them, so heavily edited copies are settled by two numbers each instead of one by one.
+Copies cost nothing twice: documents with equal weighted sets are one class before banding. The members of a band's
+bucket meet in three steps, each of which hands on links that were verified where they were found, at most as many as join
+different components. First all members are compared with one pivot, the one whose shingles are the most common ones (of
+edited copies, the one closest to the others, and mostly the same one in every bucket). Then each bucket that still
+holds several components is dealt into chunks of about CHUNK members, in each of which all pairs of different components
+are compared. In buckets of several chunks, last, members outside the largest component meet all chunks. So no bucket is
+capped or lands in one task, and what is handed on grows with the members, not with their pairs. A bucket of which many
+members stay alone still costs a comparison of samples for each pair that the bounds below leave, inside tasks.
+
+What a text shares with no other text of such buckets bounds its similarity to each of them, so heavily edited copies
+are settled by two numbers each instead of one by one. Pairs of which less than AGREEMENT of the samples agree are not
+verified. Both that and the bands miss a pair at exactly the similarity once in some hundred times, and rarely ones above.
 
 Defined results: a text without words (null, empty, only punctuation) is in a class of its own. A text of 1
 to 4 words has one shingle. A class's id is its smallest doc_id. Rows that repeat a doc_id stand or fall
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnscope.llm.common import bound_batches, materialize, text_or_empty, utf8_buffers
@@ -37,10 +43,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 6
 IDF_BUCKETS = 1 << 18
 IDF_SPAN = 0.25
+RARE = 1 / 1024
 LEVEL = 0.1
-PIVOTS, PIVOTS_A_ROW = 512, 16
-#: Pairs of pivots and members whose samples agree less often are not verified. At the least similarity that
-#: links, so few of the samples agree once in some hundred times, as seldom as no band agrees.
+#: Members of a bucket that are compared with each other in one row, and the bytes of their weighted sets.
+CHUNK, CHUNK_BYTES = 64, 2 << 20
+#: A hot bucket's last step is dealt to so many tasks at least.
+SALTS = 16
+#: Pairs of members whose samples agree less often are not verified. At the least similarity that links, so few of the
+#: samples agree once in some hundred times, as seldom as no band agrees.
 AGREEMENT = 0.68
 #: Room for rounding in bounds.
 SLACK = 1e-9
@@ -54,6 +64,7 @@ _BETA = _rng.random((_K, _VARIATES))
 _ODD = _rng.integers(0, 1 << 63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.uint64(64 - 9)
+_WEIGHT = np.exp(np.arange(256) * LEVEL)
 
 
 class Sampler:
@@ -107,39 +118,63 @@ def weighted_sets(texts: pa.Array, ln_idf: np.ndarray | None) -> Iterator[tuple[
         own = np.searchsorted(place, starts)
         ln = np.log(count)
         if ln_idf is not None:
-            ln = ln + ln_idf[(unique >> np.uint64(46)).astype(np.int64)]
-        yield lo, hi, unique, np.rint(ln / LEVEL).astype(np.int32), own
+            ln = ln + _looked_up(ln_idf, unique)
+        yield lo, hi, unique, np.minimum(np.rint(ln / LEVEL), 255).astype(np.int32), own
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted shingles, levels)."""
-    wa, wb = np.exp(a[1] * LEVEL), np.exp(b[1] * LEVEL)
     if not len(a[0]) or not len(b[0]):
         return 0.0
+    wa, wb = _WEIGHT[a[1]], _WEIGHT[b[1]]
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     both = b[0][at] == a[0]
     shared = np.minimum(wa[both], wb[at[both]]).sum()
     return float(shared / (wa.sum() + wb.sum() - shared))
 
 
+def _features(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's places in the two tables of hashed features."""
+    bits = np.uint64(64 - IDF_BUCKETS.bit_length() + 1)
+    return (shingles >> bits).astype(np.int64), IDF_BUCKETS + (shingles << np.uint64(24) >> bits).astype(np.int64)
+
+
+def _looked_up(ln_idf: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Of the two features of a shingle the rarer one tells its frequency."""
+    one, other = _features(shingles)
+    return np.maximum(ln_idf[one], ln_idf[other])
+
+
 def _ln_idf(texts: DataFrame) -> np.ndarray:
-    """ln of the smoothed inverse document frequency by hashed feature, from all documents."""
+    """ln of the inverse document frequency by hashed feature, from all documents."""
+    part = IDF_BUCKETS // 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(IDF_BUCKETS, np.int64), 0
+        counts, n = np.zeros(2 * IDF_BUCKETS, np.int64), 0
         for batch in batches:
             n += len(batch)
             for _, _, unique, _, _ in weighted_sets(batch.column(0), None):
-                counts += np.bincount((unique >> np.uint64(46)).astype(np.int64), minlength=IDF_BUCKETS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], n))], ["bucket", "n"])
+                for places in _features(unique):
+                    counts += np.bincount(places, minlength=2 * IDF_BUCKETS)
+        parts = [p.tobytes() for p in counts.astype(np.int32).reshape(-1, part)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts))), pa.array(parts, pa.binary()), pa.array([n] * len(parts))], ["part", "counts", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        rows: dict[int, int] = {}
+        for batch in batches:
+            for k, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+                rows[k] = rows.get(k, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary()), pa.array(list(rows.values()), pa.int64())], ["part", "counts", "n"])
 
-    table = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(IDF_BUCKETS + 1)
-    counts[table.column(0).to_numpy()] = table.column(1).to_numpy()  # bucket -1 is the last: the number of rows
-    n = counts[-1]
-    share = np.log((n + 1) / (np.minimum(counts[:-1], n) + 1)) / max(np.log(n + 1), 1e-9)
-    return np.log1p(IDF_SPAN * share).astype(np.float32)
+    schema = "part long, counts binary, n long"
+    counts, n = np.zeros(2 * IDF_BUCKETS), 0
+    for r in texts.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # 32 rows, 4 MB together
+        counts[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["counts"], np.int64)
+        n = r["n"]
+    share = np.clip(counts / max(n, 1), RARE, 1)
+    return np.log1p(IDF_SPAN * np.log(1 / share) / np.log(1 / RARE)).astype(np.float32)
 
 
 def _signatures(texts: DataFrame, ln_idf) -> DataFrame:
@@ -166,7 +201,7 @@ def _signatures(texts: DataFrame, ln_idf) -> DataFrame:
                     for i, raw in zip(full, sketch, strict=True):
                         drawn[i] = raw.tobytes()
                     weight[lo + full] = np.add.reduceat(np.exp(levels * LEVEL), starts[full])
-                    idf = ln_idf.value[(unique >> np.uint64(46)).astype(np.int64)]
+                    idf = _looked_up(ln_idf.value, unique)
                     rarity[lo + full] = np.add.reduceat(idf, starts[full]) / np.diff(starts)[full]
                 keys += own
                 sketches += drawn
@@ -208,12 +243,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, ln_idf, threshold: float) -> D
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, key, first) of the buckets of more than two members that still hold several components."""
-    rows = members.filter("n > 2").select("bucket", "key", F.col("pivot").alias("first"))
-    placed = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` by key with the root of their component: the key itself where it has no link."""
+    return rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """The rows (bucket, key, root, ..) of the buckets that hold several components."""
     several = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-    return materialize(members.sparkSession, rows.join(several, "bucket", "left_semi"), "unsettled")
+    return placed.join(several, "bucket", "left_semi")
 
 
 def _unshared(candidates: DataFrame, open_: DataFrame, ln_idf) -> DataFrame:
@@ -231,37 +269,102 @@ def _unshared(candidates: DataFrame, open_: DataFrame, ln_idf) -> DataFrame:
     return open_.select("key").distinct().join(counted.groupBy("key").agg(own), "key", "left").select("key", F.coalesce("own", F.lit(0.0)).alias("own"))
 
 
-def _agreeing(members: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a member and a pivot of its bucket that lie in different components, whose common weights
-    allow the similarity, and whose samples agree often enough. A member meets PIVOTS_A_ROW pivots in a row;
-    only pairs that pass become rows."""
+_MEMBER = ("key", "root", "weight", "common", "sketch", "elements", "levels")
+_LINK = "a binary, b binary"
+
+
+class Members:
+    """The members of one row, with their weighted sets."""
+
+    def __init__(self, rows: pa.StructArray):
+        field = {name: rows.field(name) for name in _MEMBER}
+        self.keys, self.roots, elements, levels = (field[c].to_pylist() for c in ("key", "root", "elements", "levels"))
+        self.weight, self.common = field["weight"].to_numpy(), field["common"].to_numpy()
+        sketches, at = utf8_buffers(field["sketch"])
+        self.sketch = sketches[at[0] : at[-1]].reshape(-1, _K)
+        self.sets = [(np.frombuffer(e, np.uint64), np.frombuffer(v, np.uint8)) for e, v in zip(elements, levels, strict=True)]
+
+
+class Forest:
+    """Components as far as one task has seen links."""
+
+    def __init__(self) -> None:
+        self.up: dict[bytes, bytes] = {}
+
+    def root(self, x: bytes) -> bytes:
+        while (y := self.up.get(x, x)) != x:
+            x = y
+        return x
+
+    def links(self, a: Members, b: Members, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+        """Verified links of members of ``a`` to members of ``b``, each of which joins two components. The likeliest pairs come first, so
+        that few are verified in vain."""
+        agree = np.stack([(b.sketch == own).mean(axis=1) for own in a.sketch])
+        most = np.minimum(a.common[:, None], b.common[None, :])
+        bound = most / (a.weight[:, None] + b.weight[None, :] - most)
+        left, right = np.nonzero((agree >= AGREEMENT) & (bound >= threshold - SLACK))
+        for k in np.argsort(-agree[left, right], kind="stable"):
+            i, j = left[k], right[k]
+            x, y = self.root(a.roots[i]), self.root(b.roots[j])
+            if x != y and similarity(a.sets[i], b.sets[j]) >= threshold:
+                self.up[x] = y
+                yield a.keys[i], b.keys[j]
+
+
+def _as_links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+
+def _within_chunks(members: DataFrame, threshold: float) -> DataFrame:
+    """Links inside each row of ``members``, at most as many as it has members less one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                own = Members(batch.column(0)[i].values)
+                yield _as_links(list(Forest().links(own, own, threshold)))
+
+    return members.select("members").mapInArrow(run, _LINK)
+
+
+def _between_chunks(some: DataFrame, all_: DataFrame, threshold: float) -> DataFrame:
+    """Links between the members of a row of ``some`` and those of the rows of ``all_`` of the same bucket. Rows of one row of
+    ``some`` mostly come one after the other, so their links are known to each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own, forest = None, None, Forest()
         for batch in batches:
-            keys, roots, sketches, weights, commons, rows = batch.columns
-            lists = rows.flatten()
-            p_keys, p_roots, p_sketches, p_weights, p_commons = (lists.field(i) for i in range(5))
-            owner = np.repeat(np.arange(len(batch)), np.diff(rows.offsets.to_numpy()))
-            own, own_at = utf8_buffers(sketches)
-            other, other_at = utf8_buffers(p_sketches)
-            mine = own[own_at[0] : own_at[-1]].reshape(-1, _K)
-            theirs = other[other_at[0] : other_at[-1]].reshape(-1, _K)
-            agree = np.zeros(len(owner), bool)
-            for lo in range(0, len(owner), 1 << 14):
-                part = slice(lo, lo + (1 << 14))
-                agree[part] = (mine[owner[part]] == theirs[part]).mean(axis=1) >= AGREEMENT
-            most = np.minimum(commons.to_numpy()[owner], p_commons.to_numpy())
-            bound = most / (weights.to_numpy()[owner] + p_weights.to_numpy() - most)
-            found = np.flatnonzero(agree & (bound >= threshold - SLACK))
-            left, right = keys.take(pa.array(owner[found])).to_pylist(), p_keys.take(pa.array(found)).to_pylist()
-            apart = [x != y for x, y in zip(roots.take(pa.array(owner[found])).to_pylist(), p_roots.take(pa.array(found)).to_pylist(), strict=True)]
-            pairs = [(min(x, y), max(x, y)) for x, y, different in zip(left, right, apart, strict=True) if different]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
-
-    # At most PIVOTS_A_ROW of a bucket are gathered in a row.
-    rows = pivots.groupBy("bucket", F.floor((F.col("turn") - 1) / PIVOTS_A_ROW).alias("row")).agg(F.collect_list(F.struct("key", "root", "sketch", "weight", "common")).alias("pivots"))
-    met = members.filter("key <> first").join(rows.select("bucket", "pivots"), "bucket")
-    return met.select("key", "root", "sketch", "weight", "common", "pivots").mapInArrow(run, "a binary, b binary")
+            for i in range(len(batch)):
+                at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if at != last:
+                    last, own, forest = at, Members(batch.column(2)[i].values), Forest()
+                yield _as_links(list(forest.links(own, Members(batch.column(3)[i].values), threshold)))
+
+    salts = F.least(F.col("some_chunks"), F.lit(SALTS))
+    left = some.withColumn("salt", F.col("chunk") % salts)
+    right = all_.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select("bucket", "salt", F.col("members").alias("others"))
+    met = left.join(right.hint("merge"), ["bucket", "salt"])
+    return met.select("bucket", "chunk", "members", "others").mapInArrow(run, _LINK)
+
+
+def _chunked(rows: DataFrame, chunks: Column) -> DataFrame:
+    """(bucket, chunk, some_chunks, members): the rows of each bucket dealt into ``chunks`` chunks by their keys' hashes."""
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), chunks))
+    own = F.collect_list(F.struct(*_MEMBER)).alias("members")  # about CHUNK members and CHUNK_BYTES
+    return dealt.groupBy("bucket", "chunk").agg(F.first("some_chunks").alias("some_chunks"), own)
+
+
+def _weighted(candidates: DataFrame, wanted: DataFrame, ln_idf) -> DataFrame:
+    """(key, elements, levels): the weighted sets of the wanted keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, u, v, s in weighted_sets(batch.column(1), ln_idf.value):
+                elements = [u[s[i] : s[i + 1]].tobytes() for i in range(hi - lo)]
+                levels = [v[s[i] : s[i + 1]].astype(np.uint8).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(elements, pa.binary()), pa.array(levels, pa.binary())], ["key", "elements", "levels"])
+
+    return candidates.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(run, "key binary, elements binary, levels binary")
 
 
 def _candidate_texts(texts: DataFrame, wanted: DataFrame, ln_idf) -> DataFrame:
@@ -293,45 +396,46 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
     members = classes.select("key", "rarity", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min(F.struct("rarity", "key")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = members.join(shared, "bucket").select("bucket", "key", F.col("pivot.key").alias("pivot"), "n")
-    members = materialize(spark, members, "buckets")
+    shared = materialize(spark, shared.select("bucket", F.col("pivot.key").alias("pivot"), "n"), "pivots")
+    members = materialize(spark, members.join(shared.hint("merge"), "bucket").select("bucket", "key", "pivot", "n"), "buckets")  # a merge join can be split
     wanted = members.select("key").distinct().join(classes.select("key", "rep_id"), "key")
     candidates = materialize(spark, _candidate_texts(texts, wanted, ln_idf), "candidate-texts")
 
     pairs = members.filter("key <> pivot").select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
-    tested = materialize(spark, pairs, "pairs")
-    roots = connected_components(_verified(tested, candidates, ln_idf, threshold))
-
-    # Buckets of two are settled. In the others, members outside the largest component are pivots in turn.
-    open_ = _unsettled(members, roots)
-    shared = classes.select("key", "weight", "sketch").join(_unshared(candidates, open_, ln_idf), "key").withColumn("common", F.col("weight") - F.col("own"))
-    # A text of which a larger share is its own cannot be similar to any other.
-    open_ = open_.join(shared.filter(F.col("common") >= (threshold - SLACK) * F.col("weight")).drop("own"), "key")
-    done = spark.createDataFrame([], "bucket long, key binary")
-    while True:
-        placed = open_.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        placed = materialize(spark, placed, "placed")
-        sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", F.col("top.root").alias("main"))
-        minor = placed.join(largest, "bucket").filter("root <> main AND key <> first").join(done, ["bucket", "key"], "left_anti")
-        in_turn = Window.partitionBy("bucket").orderBy("key")
-        pivots = minor.withColumn("turn", F.row_number().over(in_turn)).filter(F.col("turn") <= PIVOTS)
-        pivots = materialize(spark, pivots.select("bucket", "turn", "key", "root", "sketch", "weight", "common"), "pivots")
-        if pivots.isEmpty():
-            break
-        still = placed.join(pivots.select("bucket").distinct(), "bucket", "left_semi")
-        pairs = _agreeing(still, pivots, threshold).distinct()
-        pairs = materialize(spark, pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        more = materialize(spark, _verified(pairs, candidates, ln_idf, threshold), "links")
-        done = done.union(pivots.select("bucket", "key"))
-        open_ = still.drop("root")
-        if not more.isEmpty():
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = connected_components(_verified(pairs, candidates, ln_idf, threshold))
+
+    # Buckets of two are settled. A text of which too large a share is its own cannot be similar to any other.
+    open_ = materialize(spark, _several(_rooted(members.filter("n > 2").select("bucket", "key"), roots)), "unsettled")
+    common = classes.select("key", "weight", "sketch").join(_unshared(candidates, open_, ln_idf), "key").withColumn("common", F.col("weight") - F.col("own"))
+    open_ = open_.join(common.filter(F.col("common") >= (threshold - SLACK) * F.col("weight")).drop("own"), "key")
+    open_ = materialize(spark, _several(open_), "open")
+    sets = materialize(spark, _weighted(candidates, open_.select("key").distinct(), ln_idf), "weighted-sets")
+    room = lambda n, size: F.greatest(F.ceil(n / CHUNK), F.ceil(size / CHUNK_BYTES))
+    bytes_ = sets.select("key", (F.length("elements") + F.length("levels")).alias("bytes"))
+    sized = open_.select("bucket", "key").join(bytes_, "key").groupBy("bucket").agg(room(F.count("*"), F.sum("bytes")).alias("chunks"))
+    sized = materialize(spark, sized, "chunks")
+    full = open_.join(sized.hint("merge"), "bucket").withColumn("some_chunks", F.lit(1).cast("long")).join(sets, "key")
+    links = materialize(spark, _within_chunks(_chunked(full, F.col("chunks")), threshold), "links")
+    roots = _merged(roots, links)
+
+    left = _several(_rooted(open_.drop("root").join(sized.filter("chunks > 1").hint("merge"), "bucket"), roots)).join(bytes_, "key")
+    left = materialize(spark, left, "unsettled")
+    sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "root", "bytes")).alias("top"), F.sum("m").alias("m"), F.sum("bytes").alias("all"))
+    main = main.select("bucket", F.col("top.root").alias("main"), room(F.col("m") - F.col("top.m"), F.col("all") - F.col("top.bytes")).alias("some_chunks"))
+    left = left.join(materialize(spark, main, "main-components").hint("merge"), "bucket").join(sets, "key")
+    some = _chunked(left.filter("root <> main"), F.col("some_chunks"))
+    found = _between_chunks(some, _chunked(left, F.col("chunks")), threshold)
+    roots = _merged(roots, materialize(spark, found, "links"))
 
     return _labelled(signed, classes, roots)
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of what is known and new links."""
+    return roots if links.isEmpty() else connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def _labelled(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     linked = classes.select("key", "rep_id").join(roots.select(F.col("node").alias("key"), "root").union(roots.select("root", "root").distinct()), "key")
     ids = linked.groupBy("root").agg(F.min("rep_id").alias("class_id"))
