@@ -251,7 +251,8 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _several(placed: DataFrame) -> DataFrame:
     """The rows (bucket, key, root, ..) of the buckets that hold several components."""
     several = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-    return placed.join(several, "bucket", "left_semi")
+    several = materialize(placed.sparkSession, several, "several")
+    return placed.join(several.hint("merge"), "bucket", "left_semi")  # a merge join of a hot bucket can be split
 
 
 def _unshared(candidates: DataFrame, open_: DataFrame, ln_idf) -> DataFrame:
