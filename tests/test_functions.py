@@ -99,6 +99,7 @@ def test_lexical(path, want):
     [
         ("cat src/main.rs:12:3 | grep x", ["src/main.rs"]),
         ("cd /tmp && ls ./a ../b", ["./a", "../b"]),
+        ("cd cd /x/y.rs ./z", ["./z"]),
         ("git checkout feat/x", []),
         ("echo a > /dev/null 2> /proc/1", []),
         ("cat <<'EOF' > out.txt\n/body/path.rs\nEOF\ncat in.md", ["out.txt", "in.md"]),

@@ -6,6 +6,8 @@ import os
 import sqlite3
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turnscope.operators import extract, fulltext, lookup, turns
@@ -92,6 +94,79 @@ def test_turns(spark):
     assert [r["content"] for r in got[1]["results"]] == ['[{"k":1}]', "exit 2"] and got[3]["results"][0]["content"] == "z"
 
 
+BAD_LINES = [
+    b'{"entry_id": 12345678901234567890123, "message": {}}',
+    b'{"entry_id": 4, "message": {"role": "user", "content": "half \\ud800 pair"}}',
+    b'{"entry_id": NaN}',
+    b'{"entry_id": 1e999}',
+    b"\xff\xfe{}",
+    b"\xef\xbb\xbf{}",
+    b'{"entry_id": true}',
+    b"[" * 100_000,
+    b'"' + b"9" * 5000,
+    b"9" * 5000,
+]
+
+
+def test_odd_lines_are_skipped_and_counted(spark):
+    whole = b'{"entry_id": 1, "timestamp": 123456789012345678901234, "parent_id": 99999999999999999999, "message": {"role": "user", "content": "kept \\ud83d\\ude00"}}\n'
+    log = session_log.parse(whole + b"\n".join(BAD_LINES) + b"\n")
+    assert len(log.skipped) == len(BAD_LINES) and [(e["entry_id"], e["ts"], e["parent_id"]) for e in log.entries] == [(1, 0, None)]
+    assert turns_of(spark, whole + b"\n".join(BAD_LINES) + b"\n")[0]["prompt"] == "kept 😀"
+
+
+_JSON_LIKE = st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=8), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["entry_id", "id", "message", "content", "role", "type", "text", "args", "timestamp", "parent_id", "is_error", "name"]), x, max_size=5), max_leaves=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.binary(max_size=60) | _JSON_LIKE.map(lambda v: json.dumps(v).encode()), max_size=6))
+def test_no_bytes_stop_the_parser(lines):
+    """Every line is an entry, the header, blank or skipped, and what is read can be stored."""
+    data = b"".join(line.replace(b"\n", b" ") + b"\n" for line in lines)
+    log = session_log.parse(data)
+    blank = sum(not line.replace(b"\n", b" ").strip(b" \t\r\x0c") for line in lines)
+    assert len(log.entries) + len(log.skipped) + blank in (len(lines), len(lines) - 1)
+    assert all(-(1 << 63) <= e["entry_id"] < 1 << 63 for e in log.entries)
+    json.dumps(session_log.rows_of("s", log), ensure_ascii=False).encode()
+
+
+def test_jobs_are_dealt_evenly_and_in_batches():
+    jobs = [ingest.Job(f"s{i}", "", size, 0, 0, None) for i, size in enumerate([5, 90, 40, 40, 10, 1, 1])]
+    assert [[j.size for j in b] for b in ingest.batches(jobs, 100)] == [[90], [40, 40, 10, 5, 1, 1]]
+    loads = {}
+    for hand, job in ingest.dealt(jobs, 3):
+        loads[hand] = loads.get(hand, 0) + job.size
+    assert sorted(loads.values()) == [47, 50, 90] or max(loads.values()) == 90
+
+
+def test_a_run_goes_on_after_a_bad_file(spark, home, monkeypatch):
+    """One file that cannot be read fails alone, is tried again, and batches are committed one by one."""
+    (home / "sessions" / "bad.jsonl").mkdir()
+    os.symlink("/nonexistent", home / "sessions" / "link.jsonl")
+    unreadable = Log("u").user("x").write(home, "unreadable")
+    monkeypatch.setattr(ingest, "BATCH_BYTES", 1)
+    index = ingest.Index(spark, str(home))
+    os.chmod(home / "sessions" / "unreadable.jsonl", 0o000)
+    failed = index.catch_up()
+    assert failed.changed + failed.failed == 3 and index.stats()["sessions"] == failed.changed
+    os.chmod(home / "sessions" / "unreadable.jsonl", 0o600)
+    assert index.catch_up().failed == 0 and index.stats()["sessions"] == 3
+    del unreadable
+
+
+def test_a_query_reads_its_terms_only(spark, home):
+    """Postings are cut to the query's terms in the scan, and nothing else reads them."""
+    index = ingest.Index(spark, str(home))
+    index.catch_up()
+    postings = index.postings()
+    hits = fulltext.phrase_hits(postings, ["session", "entry_id"], ["deploy"])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
+    stored = {(r["session"], r["entry_id"]): r["tokens"] for r in index.turns().collect()}
+    counted = {(r["session"], r["entry_id"]): r["dl"] for r in fulltext.document_lengths(postings, ["session", "entry_id"]).collect()}
+    assert counted == {k: n for k, n in stored.items() if n} and index.totals() == (len(stored), sum(stored.values()))
+
+
 def test_compaction_and_prompt_cap(spark):
     log = Log("s").user("kept", ts=0).user("summary", ts=1000, boundary=True).user("copy", ts=1400).user("new", ts=1501).user("é" * 2000, ts=1502)
     got = turns_of(spark, log.bytes())

@@ -67,9 +67,8 @@ def command_paths(command: str) -> list[str]:
             continue
         until = heredoc_word(line)
         tokens = _TOKEN.findall(line)
-        targets = {i + 1 for i, t in enumerate(tokens) if t == "cd" and not (i and tokens[i - 1] == "cd")}
-        for i, token in enumerate(tokens):
-            if i not in targets:
+        for before, token in zip(["", *tokens], tokens, strict=False):
+            if before != "cd":
                 name = _LINE_NUMBERS.sub("", token)
                 if is_path(name):
                     out.append(name)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -129,8 +128,3 @@ def fnv1a64_col(text: Column) -> Column:
         return s.map(lambda t: fnv1a64(t.encode()), na_action="ignore").astype("Int64")
 
     return run(text)
-
-
-def fingerprint(data: bytes) -> str:
-    """A stable name for a folder's contents."""
-    return hashlib.sha256(data).hexdigest()[:16]

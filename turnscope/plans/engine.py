@@ -134,10 +134,11 @@ class Engine:
             page = allowed.orderBy(F.desc("date"), *KEY).offset(request.offset).limit(request.page).withColumn("score", F.lit(0.0))
             rows = [r.asDict() for r in page.collect()]
             return [r | {"did": r["gist"], "other_project": False} for r in rows], total
-        postings = self.index.postings()
-        lengths = fulltext.document_lengths(postings, KEY)
-        stats = fulltext.corpus_stats(turns, lengths)
-        matched = fulltext.matches(postings, lengths, stats, query, KEY, weights=fulltext.TURN_WEIGHTS)
+        # Lengths are stored with the turns and totals in the manifest, so only postings of the query's terms are read.
+        lengths = turns.select(*KEY, F.col("tokens").alias("dl"))
+        n, tokens = self.index.totals()
+        stats = self.index.spark.createDataFrame([(n, tokens / max(n, 1))], "n long, avgdl double")
+        matched = fulltext.matches(self.index.postings(), lengths, stats, query, KEY, weights=fulltext.TURN_WEIGHTS)
         # Wide columns are fetched for the page alone.
         met = matched.join(allowed.select(*KEY, "date", "has_reply"), KEY).persist()
         try:

@@ -2,20 +2,17 @@
 
 A file becomes one ``file`` row and one ``entry`` row for every valid entry. A last line without its line feed
 is left for the next read. Spark's text reader has neither offsets nor that rule, so files are parsed in Arrow
-batches, one file at a time.
+batches, one file at a time. Whatever bytes a file holds, each of its lines is an entry, the header or a skipped line.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
-from collections.abc import Iterator
+import re
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 BLOCK = "struct<type:string,text:string,name:string,args:string,content:string,is_error:boolean>"
 SCHEMA = (
     "session string, kind string, offset long, entry_id long, parent_id long, ts long, boundary boolean, role string, "
@@ -36,8 +33,38 @@ class Log:
 
 
 def _typed(value: object, kind: type, default):
-    """``value`` if JSON gave it that type; a boolean is no number."""
-    return value if isinstance(value, kind) and not (kind is int and isinstance(value, bool)) else default
+    """``value`` if JSON gave it that type; a boolean is no number, and neither is what 64 bits do not hold."""
+    if kind is int and isinstance(value, int) and (isinstance(value, bool) or not -(1 << 63) <= value < 1 << 63):
+        return default
+    return value if isinstance(value, kind) else default
+
+
+def _number(digits: str) -> int | float:
+    return int(digits) if len(digits) <= 20 else _finite(digits)
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise ValueError("number out of range")
+    return value
+
+
+def _constant(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+_JSON = json.JSONDecoder(parse_int=_number, parse_float=_finite, parse_constant=_constant)
+#: Half a surrogate pair that is written as an escape; only lines that have one are looked at more closely.
+_HALF = re.compile(rb"\\u[dD][89a-fA-F]")
+
+
+def _line(raw: bytes) -> object:
+    """The JSON value of a line; ValueError or RecursionError if it is none, or holds text that is not Unicode."""
+    value = _JSON.decode(raw.decode("utf-8").strip(" \t\r\x0c"))
+    if _HALF.search(raw):
+        json.dumps(value, ensure_ascii=False).encode("utf-8")
+    return value
 
 
 def _dump(value: object) -> str:
@@ -94,7 +121,7 @@ def parse(data: bytes, base: int = 0) -> Log:
         if not raw.strip(b" \t\r\x0c"):
             continue
         try:
-            line = json.loads(raw)
+            line = _line(raw)
         except (ValueError, RecursionError):
             line = None
         if isinstance(line, dict) and _typed(line.get("entry_id"), int, None) is not None:
@@ -121,22 +148,3 @@ def list_sessions(folder: str) -> list[tuple[str, str]]:
         return []
     found = [(e.name.removesuffix(".jsonl"), e.path) for e in os.scandir(folder) if e.name.endswith(".jsonl") and e.is_file(follow_symlinks=False)]
     return sorted((s, p) for s, p in found if s)
-
-
-def read_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of SCHEMA for every session file directly in ``folder``, which may be in any store Spark reads."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(SCHEMA))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                session = os.path.basename(path).removesuffix(".jsonl")
-                rows = rows_of(session, parse(content.as_py()))
-                for lo in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_pylist(rows[lo : lo + 1000], arrow)
-
-    files = spark.read.format("binaryFile").load(f"{folder}/*.jsonl").filter(~F.col("path").endswith("/.jsonl"))
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
