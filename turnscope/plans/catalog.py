@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnscope.functions.names import display_id_col, jaro_winkler_col
@@ -40,6 +40,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _templated(spark: SparkSession, sf_dir: str, table: str, key: str, templates: list[str]) -> DataFrame:
+    """(key, text): each row of the table fills the template that its key's remainder picks with a digest of the key."""
+    chosen = spark.createDataFrame(list(enumerate(templates)), "n long, template string")
+    digest = F.md5(F.col(key).cast("string"))
+    rows = _table(spark, sf_dir, table).select(key, digest.alias("digest"), (F.col(key) % len(templates)).alias("n"))
+    return rows.join(F.broadcast(chosen), "n").select(key, F.replace("template", F.lit("{s}"), F.col("digest")).alias("text"))
+
+
+def _template_sql(table: str, key: str, wanted: list[str]) -> str:
+    """What the templates should become, as SQL for (key, text)."""
+    values = ", ".join(f"({i}, '{w.replace(chr(39), chr(39) * 2)}')" for i, w in enumerate(wanted))
+    return f"SELECT {key}, replace(w, '{{s}}', md5({key}::VARCHAR)) AS text FROM {table}, (VALUES {values}) v(n, w) WHERE n = {key} % {len(wanted)}"
+
+
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as entry rows."""
     rows = _table(spark, sf_dir, "conversations")
@@ -97,35 +111,40 @@ def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("session", "entry_id", "prompt", "reply")
 
 
-# Two sessions: one rewound at entry 2, one with a cycle; (session, offset, entry_id, parent_id).
-_WALKS = [("a", 0, 1, None), ("a", 10, 2, 1), ("a", 20, 3, 2), ("a", 30, 4, 2), ("a", 40, 5, 4), ("b", 0, 7, 9), ("b", 10, 8, 7), ("b", 20, 9, 8), ("c", 0, 1, None), ("c", 10, 2, 99)]
-_WALKS_SQL = ", ".join(f"('{s}', {o}, {e}, {'NULL' if p is None else p})" for s, o, e, p in _WALKS)
+# A customer is a session and its orders are entries; by the key's remainder one follows the entry before, rewinds, begins anew, has an
+# unknown parent, or closes a cycle.
+_WALKS_SQL = """SELECT o_custkey::VARCHAR AS session, o_orderkey AS "offset", o_orderkey AS entry_id,
+  CASE o_orderkey % 13 WHEN 3 THEN lag(o_orderkey, 2) OVER w WHEN 5 THEN NULL WHEN 7 THEN -1 WHEN 9 THEN lead(o_orderkey) OVER w ELSE lag(o_orderkey) OVER w END AS parent_id
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)"""
 
 
-@_query(f"""WITH RECURSIVE entries(session, "offset", entry_id, parent_id) AS (VALUES {_WALKS_SQL}),
+@_query(f"""WITH RECURSIVE entries AS ({_WALKS_SQL}),
 walk AS (
   SELECT session, entry_id, parent_id, [entry_id] AS seen FROM entries QUALIFY row_number() OVER (PARTITION BY session ORDER BY "offset" DESC) = 1
   UNION ALL
   SELECT e.session, e.entry_id, e.parent_id, list_append(w.seen, e.entry_id) FROM walk w JOIN entries e ON e.session = w.session AND e.entry_id = w.parent_id WHERE NOT list_contains(w.seen, e.entry_id))
 SELECT w.session, w.entry_id, arg_min(w.entry_id, e."offset") OVER (PARTITION BY w.session) AS root FROM walk w JOIN entries e USING (session, entry_id)""")
 def active_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame(_WALKS, "session string, offset long, entry_id long, parent_id long")
+    key, in_turn = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before, kind = F.lag(key).over(in_turn), key % 13
+    parent = F.when(kind == 3, F.lag(key, 2).over(in_turn)).when(kind == 5, F.lit(None)).when(kind == 7, F.lit(-1)).when(kind == 9, F.lead(key).over(in_turn)).otherwise(before)
+    entries = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("session"), key.alias("offset"), key.alias("entry_id"), parent.alias("parent_id"))
     branch = turns.active_branch(entries)
     return branch.join(turns.branch_roots(branch), "session").select("session", "entry_id", "root")
 
 
-# (session, offset, ts, boundary): copies follow the first boundary; after the gap everything counts again.
-_COMPACTED = [("a", 0, 100, False), ("a", 1, 1000, True), ("a", 2, 1200, False), ("a", 3, 1500, False), ("a", 4, 1501, False), ("a", 5, 1100, False), ("a", 6, 9000, True), ("a", 7, 9400, False), ("b", 0, 5, False)]
-_COMPACTED_SQL = ", ".join(f"('{s}', {o}, {t}, {str(b).lower()})" for s, o, t, b in _COMPACTED)
+# Every ninth order is a compaction; times jump about, so that some orders after it are near enough to be copies.
+_COMPACTED_SQL = """SELECT o_custkey::VARCHAR AS session, o_orderkey AS "offset", o_orderkey * 7919 % 1201 AS ts, o_orderkey % 9 = 0 AS boundary FROM orders"""
 
 
-@_query(f"""WITH entries(session, "offset", ts, boundary) AS (VALUES {_COMPACTED_SQL}),
+@_query(f"""WITH entries AS ({_COMPACTED_SQL}),
 grouped AS (SELECT *, sum(boundary::INT) OVER (PARTITION BY session ORDER BY "offset") AS g FROM entries),
 flagged AS (SELECT *, abs(ts - first_value(ts) OVER (PARTITION BY session, g ORDER BY "offset")) > 500 AS outside FROM grouped),
 ran AS (SELECT *, max(outside::INT) OVER (PARTITION BY session, g ORDER BY "offset") AS gone FROM flagged)
 SELECT session, "offset", ts FROM ran WHERE NOT boundary AND (g = 0 OR gone = 1)""")
 def compaction_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame(_COMPACTED, "session string, offset long, ts long, boundary boolean")
+    key = F.col("o_orderkey")
+    entries = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("session"), key.alias("offset"), (key * 7919 % 1201).alias("ts"), (key % 9 == 0).alias("boundary"))
     return turns.skip_compaction(entries).select("session", "offset", "ts")
 
 
@@ -332,9 +351,10 @@ def session_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session", (F.col("session") == "Customer#000000010").alias("exact"))
 
 
-@_query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@_query("SELECT c_custkey FROM customer ANTI JOIN (FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
 def gone_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    present = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Sessions without a file: customers without an order in state P."""
+    present = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return _table(spark, sf_dir, "customer").select("c_custkey").join(present, "c_custkey", "left_anti")
 
 
@@ -345,33 +365,78 @@ def upsert_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.upsert(stored, fresh, ["o_orderkey"]).select("o_orderkey", "o_orderpriority")
 
 
+# What commands print: by the order's remainder (text with {s} for a digest, is_error, the commits in it, whether it failed).
 _OUTPUTS = [
-    (1, "[main 0123abc] Fix the parser\n 1 file changed", False),
-    (2, "done\n[feat/x (root-commit) fedcba9876543210] First", False),
-    (3, "exit 1\nno such file", False),
-    (4, "\n  exit 0\n[main 0123abc] again [main zzz] no", False),
-    (5, "text exit 2", True),
-    (6, "exit 99999999999999999999", False),
-    (7, "", False),
-    (8, "exit 007", False),
+    ("[main 0123abc] Fix {s}\n 1 file changed", False, "0123abc", False),
+    ("done\n[feat/x (root-commit) {s}] First", False, "{s}", False),
+    ("exit 1\nno such file {s}", False, "", True),
+    ("\n  exit 0\n[main 0123abc] again [main zzz] no", False, "0123abc", False),
+    ("text exit 2", True, "", True),
+    ("exit 99999999999999999999", False, "", False),
+    ("", False, "", False),
+    ("exit 007", False, "", True),
+    (" [main 0123abc] not at the start of its line", False, "", False),
+    ("[a 0123abc] one\n[b 0123abc] twice\n[c {s}] other", False, "0123abc {s}", False),
+    ("exit 2{s}", False, "", True),
+    ("exit18", False, "", False),
 ]
-_OUTPUTS_SQL = ", ".join("({}, '{}', {})".format(i, c.replace("\n", "' || chr(10) || '"), str(e).lower()) for i, c, e in _OUTPUTS)
 
 
-def _outputs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_OUTPUTS, "id long, content string, is_error boolean")
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _templated(spark, sf_dir, "orders", "o_orderkey", [o[0] for o in _OUTPUTS])
+    errors = [i for i, o in enumerate(_OUTPUTS) if o[1]]
+    return rows.select("o_orderkey", F.col("text").alias("content"), (F.col("o_orderkey") % len(_OUTPUTS)).isin(errors).alias("is_error"))
 
 
-@_query(rf"""WITH outputs(id, content, is_error) AS (VALUES {_OUTPUTS_SQL})
-SELECT id::BIGINT AS id, array_to_string(regexp_extract_all(content, '(?m)^\[[^\]\s]+(?: \(root-commit\))? ([0-9a-f]{{7,40}})\] ', 1), ' ') AS commits FROM outputs""")
+@_query(f"SELECT o_orderkey, text AS commits FROM ({_template_sql('orders', 'o_orderkey', [o[2] for o in _OUTPUTS])})")
 def commit_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outputs(spark).select("id", F.array_join(extract.commits_col(F.array("content")), " ").alias("commits"))
+    return _outputs(spark, sf_dir).select("o_orderkey", F.array_join(extract.commits_col(F.array("content")), " ").alias("commits"))
 
 
-@_query(rf"""WITH outputs(id, content, is_error) AS (VALUES {_OUTPUTS_SQL})
-SELECT id::BIGINT AS id, is_error OR coalesce(TRY_CAST(nullif(regexp_extract(content, '^\s*exit ([0-9]+)', 1), '') AS UBIGINT) <> 0, false) AS failed FROM outputs""")
+@_query(f"SELECT o_orderkey, text = 'True' AS failed FROM ({_template_sql('orders', 'o_orderkey', [str(o[3]) for o in _OUTPUTS])})")
 def exit_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outputs(spark).select("id", extract.failed_col(F.array(F.struct("content", "is_error"))).alias("failed"))
+    return _outputs(spark, sf_dir).select("o_orderkey", extract.failed_col(F.array(F.struct("content", "is_error"))).alias("failed"))
+
+
+# A tool call by the part's remainder: name, arguments with {s} for a digest, how it is listed, and the files that it touches.
+_CALLS = [
+    ("bash", '{"command": "cat src/{s}.rs:12:3 | grep x"}', "cat src/{s}.rs:12:3 | grep x", "src/{s}.rs"),
+    ("bash", '{"command": "cd /tmp/{s}.md && ls ./a ../{s}.md"}', "cd /tmp/{s}.md && ls ./a ../{s}.md", "a|/work/{s}.md"),
+    ("edit", '{"path": "/work/p/b/../{s}.py"}', "edit /work/p/b/../{s}.py", "{s}.py"),
+    ("read", '{"file_path": "~/{s}.md", "path": " "}', "read ~/{s}.md", "~/{s}.md"),
+    ("grep", '{"pattern": "{s}  x", "path": 3}', "grep {s} x", ""),
+    ("web", '{"url": "https://{s}.net/a.md"}', "web https://{s}.net/a.md", ""),
+    ("", '{"path": "x.rs"}', "", ""),
+    ("bash", '{"command": "cat <<EOF > {s}.txt\\n/body/x.rs\\nEOF\\ncat in.md"}', "cat <<EOF > {s}.txt /body/x.rs EOF cat in.md", "{s}.txt|in.md"),
+    ("bash", '{"command": ""}', "", ""),
+    ("write", '{"path": "/work/p"}', "write /work/p", ""),
+    ("bash", '{"command": "echo {s} > /dev/null; ls -l /proc/1 feat/{s}"}', "echo {s} > /dev/null; ls -l /proc/1 feat/{s}", ""),
+]
+
+
+@_query(
+    f"SELECT p_partkey, c.text AS commands, f.text AS files FROM ({_template_sql('part', 'p_partkey', [c[2] for c in _CALLS])}) c "
+    f"JOIN ({_template_sql('part', 'p_partkey', [c[3] for c in _CALLS])}) f USING (p_partkey)"
+)
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed commands and the touched files of one tool call for each part."""
+    rows = _templated(spark, sf_dir, "part", "p_partkey", [c[1] for c in _CALLS])
+    name = F.get(F.array(*(F.lit(c[0]) for c in _CALLS)), (F.col("p_partkey") % len(_CALLS)).cast("int"))
+    turn = rows.select(
+        "p_partkey",
+        F.lit("s").alias("session"),
+        F.col("p_partkey").alias("entry_id"),
+        F.lit("/work/p").alias("cwd"),
+        F.lit("/work/p").alias("project_key"),
+        F.lit("p").alias("project_name"),
+        F.lit(0).cast("long").alias("date"),
+        F.lit("").alias("prompt"),
+        F.array().cast("array<string>").alias("texts"),
+        F.array(F.struct(name.alias("name"), F.col("text").alias("args"))).alias("tools"),
+        F.array().cast("array<struct<content:string,is_error:boolean>>").alias("results"),
+    )
+    found = extract.extract(turn, redacted=False)
+    return found.select(F.col("entry_id").alias("p_partkey"), "commands", F.array_join("files", "|").alias("files"))
 
 
 @_query(r"""SELECT doc_id, CASE WHEN length(g) <= 300 THEN g ELSE left(g, 299) || '…' END AS gist
@@ -448,20 +513,6 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", redaction_col(F.col("text")).alias("r")).select("doc_id", "r.text", "r.strict_text")
 
 
-def _templated(spark: SparkSession, sf_dir: str, table: str, key: str, templates: list[str]) -> DataFrame:
-    """(key, text): each row of the table fills the template that its key's remainder picks with a digest of the key."""
-    chosen = spark.createDataFrame(list(enumerate(templates)), "n long, template string")
-    digest = F.md5(F.col(key).cast("string"))
-    rows = _table(spark, sf_dir, table).select(key, digest.alias("digest"), (F.col(key) % len(templates)).alias("n"))
-    return rows.join(F.broadcast(chosen), "n").select(key, F.replace("template", F.lit("{s}"), F.col("digest")).alias("text"))
-
-
-def _template_sql(table: str, key: str, wanted: list[str]) -> str:
-    """What the templates should become, as SQL for (key, text)."""
-    values = ", ".join(f"({i}, '{w.replace(chr(39), chr(39) * 2)}')" for i, w in enumerate(wanted))
-    return f"SELECT {key}, replace(w, '{{s}}', md5({key}::VARCHAR)) AS text FROM {table}, (VALUES {values}) v(n, w) WHERE n = {key} % {len(wanted)}"
-
-
 #: Lines with planted secrets, and what is left of them.
 _PLANTED = [
     ("api_key={s} and more", "api_key=<redacted> and more"),
