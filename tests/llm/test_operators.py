@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -591,6 +592,18 @@ def test_license_scan(spark, odd, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == odd.count()
 
 
+def test_many_mentions_and_the_mark_itself(spark):
+    """A long list of mentions takes a pass, not a list for each; a text may hold the character that marks matches."""
+    rules = license_rules.build()
+    mixed = "released under the apache license, version 2.0, or gpl v2 \ue000 mit license\ue000\ue001 cc by-sa 4.0\n"
+    rows = [(1, "MIT License " * 8000), (2, mixed * 150), (3, "\ue000")]
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert time.time() - began < 60 and len(got[1]["detections"]) == 8000 and got[3]["labels"] == ""
+    want = brute_scan(mixed * 15, rules)[6]
+    assert sorted((d["start"], d["end"], d["label"]) for d in got[2]["detections"])[: len(want) - 10] == want[:-10]
+
+
 def test_every_rule_keyword_is_in_its_matches():
     for r in license_rules.build():
         plain = re.sub(r"\\s\+|\\s\?", " ", r.pattern)
