@@ -286,7 +286,7 @@ def test_search_show_and_front_ends(spark, home):
     app = cli.App(spark, str(home))
     ctx = Context(cwd="/work/p", now_ms=T0 + 10_000)
     out = app.run(["deploying"], ctx)
-    assert out.code == 0 and "shown 1 of 1" in out.text and "[1] 1900bae3:1" in out.text and "did: Deployed to pages." in out.text
+    assert out.code == 0 and " | 1 of 1" in out.text and "1. 1900bae3:1" in out.text and "done: Deployed to pages." in out.text
     found = app.engine.search(Request(query="compacting"), ctx)
     assert found.fell_back and found.hits[0]["other_project"] and found.total == 1
     assert app.engine.search(Request(query="compacting", project="p"), ctx).total == 0
@@ -299,11 +299,11 @@ def test_search_show_and_front_ends(spark, home):
     assert [t["entry_id"] for t in shown.turns] == [1, 3]
     for bad, code in (("x", 2), (":1", 2), ("19:99", 3), ("nosuch:1", 3)):
         assert app.run(["show", bad], ctx).code == code
-    assert "▶ 1900bae3:1" in app.run(["show", "1900:1", "--around", "1"], ctx).text
+    assert ">> 1900bae3:1" in app.run(["show", "1900:1", "--around", "1"], ctx).text
     assert json.loads(app.run(["show", "1900:1", "--json"], ctx).text)["turns"][0]["reply"] == "Deployed to pages."
     assert json.loads(app.run(["search", "--json", "deploy"], ctx).text)["total"] == 1
     assert [p["name"] for p in json.loads(app.run(["projects", "--json"], ctx).text)] == ["p", "q"]
-    assert "2 sessions" in app.run(["status"], ctx).text and "reindexed 2 sessions (3 turns)" in app.run(["reindex"], ctx).text
+    assert "2 sessions" in app.run(["status"], ctx).text and "2 sessions, 3 turns" in app.run(["reindex"], ctx).text
     assert not app.tool_call({"query": "nothinghere", "all": "true"}, ctx)["is_error"] and app.tool_call({"limit": 1.5}, ctx)["is_error"]
     sent = [{"id": 1, "method": "plugin/manifest"}, {"method": "tool/call"}, {"id": 2, "method": "nope"}, {"id": 3, "method": "tool/call", "params": {"name": "x"}}, {"id": 4, "method": "command/run", "params": {"argv": ["projects"]}}, {"id": 5, "method": "plugin/shutdown"}, {"id": 6, "method": "plugin/manifest"}]
     wrote = io.StringIO()
@@ -323,7 +323,9 @@ def test_arguments():
     assert cli.query_from(["a b", "c", 'd "e f"', "g -h"]) == '"a b" c d "e f" g -h'
     got = cli.request_from_json({"query": 7, "limit": "3", "all": "true", "since": "", "unknown": 1, "offset": 2.0})
     assert (got.query, got.limit, got.all, got.since, got.offset) == ("7", 3, True, None, 2)
-    for bad in ({"limit": -1}, {"all": 1}, {"query": []}, [1]):
+    assert cli.request_from_json(None) == cli.request_from_json({"query": None, "limit": " ", "offset": 0.0}) == Request()
+    assert cli.request_from_json({"query": True and "x", "all": "false", "id": 3, "max_chars": " 7 "}) == Request(query="x", all=False, id="3", max_chars=7)
+    for bad in ({"limit": -1}, {"all": 1}, {"query": []}, [1], {"limit": True}, {"query": False}, {"all": ""}, {"offset": 1.5}, {"limit": float("nan")}, {"limit": "+3"}):
         with pytest.raises(BadRequest):
             cli.request_from_json(bad)
     assert Request(limit=0).page == 1 and Request(limit=99).page == 20 and Request(id="x").budget == 8000 and Request(max_chars=1).budget == 500
@@ -338,16 +340,33 @@ def _turn(n, **k):
 def test_views_stay_in_budget(budget):
     found = Found("project p", 4140, False, [_turn(i) for i in range(1, 21)], 33)
     text = render.search_text(found, Request(query="q", max_chars=budget))
-    assert len(text) <= budget and "of 33" in text and "next: " in text
+    assert len(text) <= budget and "of 33" in text and "read on: " in text
     assert len(render.show_text(Shown("s", 5, [_turn(i) for i in range(1, 11)]), budget)) <= budget
     assert len(render.projects_text([{"name": f"n{i}", "key": f"/k/{i}", "turns": i} for i in range(300)], budget)) <= budget
 
 
+def test_blocks_take_what_room_there_is():
+    block = lambda n, rank: render.Block(("a" * 3 * n, "b" * n), rank)
+    assert render.each_richest([block(4, 1), block(4, 2), block(4, 3)], 21) == ["a" * 12, "b" * 4, "b" * 4]
+    assert render.each_richest([block(4, 1), block(4, 2)], 7) == ["b" * 4] and render.each_richest([], 7) == []
+    near, far = block(4, 1), block(5, 2)
+    assert render.all_alike([far, near], 27) == {far: "a" * 15, near: "a" * 12}
+    assert render.all_alike([far, near], 20) == {far: "b" * 5, near: "b" * 4} and render.all_alike([far, near], 8) == {near: "b" * 4}
+
+
+def test_manifest_fields():
+    told = cli.manifest()
+    tool = told["tools"][0]
+    assert told["commands"] == list(told["command_descriptions"]) and told["description"] and told["protocol"] == "1.1" and told["hooks"] == []
+    assert [c["arg"] for c in told["completion"]] == list(cli.VERBS) and all(c["description"] for c in told["completion"])
+    assert tool["label"] and tool["snippet"] and tool["preview"] == "query" and len(tool["description"]) > 80
+
+
 def test_empty_views():
     nothing = Found("project p", 0, False, [], 0)
-    assert "none found: try --all" in render.search_text(nothing, Request())
-    assert "lower the offset" in render.search_text(Found("project p", 9, False, [], 9), Request(offset=200))
+    assert "--all looks everywhere" in render.search_text(nothing, Request())
+    assert "smaller offset" in render.search_text(Found("project p", 9, False, [], 9), Request(offset=200))
     assert "any project" in render.search_text(Found("project p", 0, False, [], 0, True), Request(), busy=True)
-    assert render.projects_text([], 500).endswith("none indexed yet")
+    assert "no project" in render.projects_text([], 500)
     assert "never" in render.status_text({"turns": 1, "sessions": 1, "projects": 1, "bytes": 9, "skipped": 0, "last_catch_up": None}, "/i", T0)
-    assert render.share(100, 10, 1000, 10) == (10, 80, 10) and render.share(90, 1000, 1000, 1000) == (22, 46, 22)
+    assert render.divide(100, [10, 10, 1000], [4, 3, 1]) == [10, 10, 80] and render.divide(90, [1000, 1000, 1000], [4, 3, 1]) == [22, 22, 46]
