@@ -397,15 +397,27 @@ def test_pack(spark, odd, empty, library):
 # --- op6 --------------------------------------------------------------------------------------------------
 
 
-def test_digest_array_confirms_strings(tmp_path):
-    weak = lambda s: 7 if s.startswith(b"a") else 9
-    keys, strings = url_filter.DigestArray.encode(["ab", "ac", "b.c", "é"], weak)
-    (tmp_path / "k").write_bytes(keys)
-    (tmp_path / "s").write_bytes(strings)
-    found = url_filter.DigestArray(str(tmp_path / "k"), str(tmp_path / "s")).contains([b"ab", b"ad", b"ac", b"b.c", "é".encode(), b""], weak)
+def test_digest_array_confirms_strings(tmp_path, monkeypatch):
+    monkeypatch.setattr(url_filter, "BLOCK_ROWS", 3)
+    weak = lambda s: 7 if s.startswith(b"a") else -9
+    rows = sorted((weak(e.encode()), e) for e in ["ab", "ac", "b.c", "é"])
+    files = [tmp_path / k for k in ("keys", "ends", "strings")]
+    for path, blocks in zip(files, zip(*url_filter.encoded(iter(rows)), strict=True), strict=True):
+        path.write_bytes(b"".join(blocks))
+    found = url_filter.DigestArray(*map(str, files)).contains([b"ab", b"ad", b"ac", b"b.c", "é".encode(), b""], weak)
     assert found.tolist() == [True, False, True, True, True, False]
 
 
+def test_the_list_may_be_a_table(spark):
+    """Keys are those of Spark's hash; nulls and repeated entries count for nothing."""
+    listed = spark.range(5000).select(F.concat(F.lit("h"), "id", F.lit(".bad/é/")).alias("a.b")).union(spark.createDataFrame([(None,), ("h7.bad/é/",)], "x string"))
+    for r in listed.limit(50).select("`a.b`", F.xxhash64("`a.b`").alias("k")).collect():
+        assert url_filter.digest(r["a.b"].encode()) == r["k"]
+    pages = spark.createDataFrame([(1, "http://x.h4999.bad/é/q"), (2, "http://h5000.bad/é/q"), (3, "http://h7.bad/e/")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, {}, listed).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_long_urls(spark):
     """Their probes stay few; what fits the list still blocks."""
     urls = ["http://bad.host/p/q/" + "/" * 300_000, "http://" + "a." * 200_000 + "bad.host/p/q/", "http://" + "a." * 200_000 + "fine.host/p/q/"]
