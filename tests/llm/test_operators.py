@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,10 +205,18 @@ def test_exact_dedup(spark, odd, empty, weak):
 
 
 def test_dedup_state_goes_on(spark):
-    state = exact_dedup.DedupState(spark)
+    """Later ingests meet the state of earlier ones, also from another object over the same folder; texts are checked on each hit."""
+    state = exact_dedup.DedupState(spark, digest=lambda c: F.when(c == "odd", F.lit(b"a")).otherwise(c.cast("binary")))
     for rows in ([(1, "a"), (2, "b")], [(3, "A"), (4, "c")]):
-        state.ingest(exact_dedup.arrivals(docs(spark, rows)))
+        state.ingest(docs(spark, rows))
     assert sorted((r["keep"]["doc_id"], r["group_size"]) for r in state.kept().collect()) == [(2, 1), (3, 2), (4, 1)]
+    assert state.collided().count() == 0
+    later = exact_dedup.DedupState(spark, state.folder, state.digest)
+    later.ingest(docs(spark, [(9, "odd"), (7, "B")]))
+    assert [bytes(r["digest"]) for r in later.collided().collect()] == [b"a"]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in later.decided().collect()}
+    assert got == {1: (3, 2, False), 2: (7, 2, False), 3: (3, 2, True), 4: (4, 1, True), 7: (7, 2, True), 9: (9, 1, True)}
+    assert later.arrived().select("arrival").distinct().count() == 6
 
 
 # --- op3 --------------------------------------------------------------------------------------------------
@@ -408,6 +417,27 @@ def test_binary_pieces(length, bits):
     assert sum(pieces) == length and all(p & (p - 1) == 0 and p <= 1 << bits for p in pieces)
 
 
+def test_ids_are_those_of_the_library_over_a_whole_table(library):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver tables are not here")
+    encode = packing.encoder(VOCABULARY).ids
+    for text in pq.read_table(path, columns=["text"]).column(0).to_pylist():
+        assert encode(text or "") == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_buckets_hold_sequences_of_one_length(spark, odd, tmp_path):
+    packed = packing.pack(odd, VOCABULARY)
+    packing.write_buckets(packed, f"{tmp_path}/packed")
+    assert sorted(packed.drop("bucket").collect(), key=repr) == sorted(spark.read.parquet(f"{tmp_path}/packed").select(packed.drop("bucket").columns).collect(), key=repr)
+    folders = sorted(os.listdir(f"{tmp_path}/packed"))
+    for name in folders:
+        if name.startswith("bucket="):
+            ids = spark.read.parquet(f"{tmp_path}/packed/{name}").select("ids").collect()
+            assert np.array([r["ids"] for r in ids]).shape == (len(ids), 1 << int(name.removeprefix("bucket=")))
+    assert "bucket=0" in folders and "bucket=10" in folders
+
+
 def test_pack(spark, odd, empty, library):
     packed = packing.pack(odd.filter("doc_id <> 4 AND doc_id <> 5"), VOCABULARY).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
