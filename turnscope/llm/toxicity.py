@@ -280,7 +280,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def train_classifier(row: np.ndarray, feature: np.ndarray, hashes: np.ndarray, target: np.ndarray, rounds: int = 200, sparse: float = 0.7, ridge: float = 0.01, lift: float = 4.0, least: float = 3.0) -> Classifier:
+def train_classifier(row: np.ndarray, feature: np.ndarray, hashes: np.ndarray, target: np.ndarray, rounds: int = 200, sparse: float = 0.5, ridge: float = 0.01, lift: float = 4.0, least: float = 3.0) -> Classifier:
     """Logistic regression on soft targets by Newton steps, with weights of at least 0 and a penalty of ``sparse`` on their
     sum, over the at most MODEL_FEATURES features that raise the share of class 1 by ``lift`` with a mass of at least
     ``least``. A feature gets a weight only where the others leave more than ``sparse`` rows of class 1 unexplained.
