@@ -38,7 +38,7 @@ _CLOUD_KEY = _wrapped(rf"(?:{_any(CLOUD_KEY_STARTS)})[A-Z0-9]{{16,}}")
 _ASSIGNED = tuple(re.compile(rf"([^{c}]*(?:{_any(NAME_PARTS)})[^{c}]*{c})(.*)\Z", re.I | re.A | re.S) for c in "=:")
 #: Lines without any of these cannot hold anything that a rule replaces.
 SUSPECT = rf"{_any(NAME_PARTS)}|{_any(KEY_STARTS)}|{_any(SCHEMES).lower()}|{_any(CLOUD_KEY_STARTS)}"
-_SUSPECT_LINE = re.compile(rf"[^\n]*(?:{SUSPECT})[^\n]*", re.I | re.A)
+_SUSPECT = re.compile(SUSPECT, re.I | re.A)
 _BOT = re.compile(BOT_TOKEN)
 _SPACED = re.compile(rf"(?i)(\w*(?:{_any(NAME_PARTS)})\w*\s+[=:]\s+)(\"[^\"\n]+\"|'[^'\n]+'|\S+)")
 
@@ -108,7 +108,7 @@ def _line(line: str) -> str:
 
 def redact(text: str, spaced_assignments: bool = False) -> str:
     """``text`` without secrets. ``spaced_assignments`` also covers ``name = value``, which tokens alone keep."""
-    plain = _BOT.sub(MARK, _SUSPECT_LINE.sub(lambda m: _line(m[0]), text))
+    plain = _BOT.sub(MARK, "\n".join(_line(t) if _SUSPECT.search(t) else t for t in text.split("\n")))
     return _SPACED.sub(rf"\1{MARK}", plain) if spaced_assignments else plain
 
 

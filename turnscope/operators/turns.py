@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +26,21 @@ SKILL_START = '<skill name="'
 def active_branch(entries: DataFrame) -> DataFrame:
     """Entries (session, offset, entry_id, parent_id, ...) on the way from each session's last entry to its root.
 
-    The walk needs a session's ids together, so only those thin columns are grouped; the rest is joined back.
+    The walk needs a session's ids together, so only those thin columns are gathered, a row a session; the rest is joined back.
     """
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("offset", kind="stable")
-        parents = [None if pd.isna(p) else int(p) for p in group["parent_id"]]
-        return group.iloc[branch_of(group["entry_id"].tolist(), parents)][["session", "offset"]]
-
-    thin = entries.select("session", "offset", "entry_id", "parent_id")
-    kept = thin.groupBy("session").applyInPandas(walk, "session string, offset long")
-    return entries.join(kept, ["session", "offset"], "left_semi")
+    kind = dict(entries.dtypes)["session"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for own in batch.column(1).to_pylist():
+                branch = branch_of([e["entry_id"] for e in own], [e["parent_id"] for e in own])
+                kept.append([own[i]["offset"] for i in branch])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int64()))], ["session", "kept"])
+
+    whole = F.array_sort(F.collect_list(F.struct("offset", "entry_id", "parent_id"))).alias("entries")
+    walked = entries.groupBy("session").agg(whole).mapInArrow(walk, f"session {kind}, kept array<long>")
+    return entries.join(walked.select("session", F.explode("kept").alias("offset")), ["session", "offset"], "left_semi")
 
 
 def branch_roots(branch: DataFrame) -> DataFrame:
